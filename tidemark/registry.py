@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.plans import market
+
+FLAGSHIP = "market_candidate_rank"
+_ALL = {**market.QUERIES}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
