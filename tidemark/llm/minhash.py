@@ -8,8 +8,9 @@
    dropped when the posterior probability that its similarity reaches the threshold (uniform prior)
    is below `miss`. Survivors are verified on their full shingle sets.
 4. Buckets that still hold several components are searched exactly: their documents are dealt into
-   blocks, blocks meet pairwise in tasks of bounded size, and only pairs of different components
-   that pass the same batches and the exact check become links.
+   blocks, blocks meet pairwise in tasks of bounded size, and pairs of different components
+   that pass the same batches and the exact check become links; tasks emit documents and a spanning
+   forest of links, not pairs.
 
 With bands of 5 rows and 38 bands a pair at similarity 0.85 escapes all buckets with probability
 2e-10, one at 0.8 with 3e-7.
@@ -152,35 +153,105 @@ def bayes_verify(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFram
     return both.mapInPandas(run, "a long, b long")
 
 
-def block_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that survive the batches.
+def _size_fits(a, b, s: Settings):
+    """Whether sets of sizes a and b can reach the threshold at all; for columns and arrays."""
+    return (a * 100 >= b * s.percent) & (b * 100 >= a * s.percent)
+
+
+def _open_pairs(pdf: pd.DataFrame, s: Settings, steps: list[tuple[int, int]]) -> np.ndarray:
+    """A mask over (documents of block lo, documents of block hi): pairs of different components that survive the batches and agree on no earlier band (there they have met before)."""
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), s.hashes)
+    keys = np.stack([band_keys(x, s) for x in sig])
+    band = int(np.flatnonzero((keys == pdf["bucket"].to_numpy()[:, None]).all(axis=0))[0])
+    ids, comp, k, n = (pdf[c].to_numpy() for c in ("doc_id", "comp", "k", "n_shingles"))
+    lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+    mask = np.zeros((len(pdf), len(pdf)), bool)
+    rows, columns = np.flatnonzero(k == lo), np.flatnonzero(k == hi)
+    for r in rows:
+        fit = (comp[columns] != comp[r]) & _size_fits(n[columns], n[r], s)
+        if lo == hi:
+            fit &= ids[columns] > ids[r]
+        others = columns[fit]
+        others = others[_survivors(np.broadcast_to(sig[r], (len(others), s.hashes)), sig[others], steps)]
+        mask[r, others[~(keys[others, :band] == keys[r, :band]).any(axis=1)]] = True
+    return mask
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, over the elements that several of the sets hold, a slice of them at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    again = count[code] > 1
+    number = np.cumsum(count > 1) - 1
+    owner, code = owner[again], number[code[again]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(sets), len(sets)))
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        at, to = np.searchsorted(code, (first, first + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[at:to], code[at:to] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs."""
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while up.get(v, v) != v:
+            up[v] = up.get(up[v], up[v])
+            v = up[v]
+        return v
+
+    out = []
+    for a, b in pairs:
+        p, q = root(a), root(b)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((a, b))
+    return out
+
 
-    members(bucket, n, doc_id, comp, sig): a bucket's documents are dealt by hash into n / block
-    blocks; every two blocks meet in one task, which emits only survivors.
+def block_links(members: DataFrame, sketches: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between different components inside buckets: a spanning forest per task of all that there are.
+
+    members(bucket, n, doc_id, comp): a bucket's documents are dealt by hash into n / block blocks,
+    every two of which meet in one task. A first pass over signatures finds the documents with a
+    surviving partner; a second gets the full shingle sets of only those and checks the survivors.
+    What leaves a task is bounded by the documents that enter it, never by their pairs.
     """
     blocks = F.ceil(F.col("n") / s.block).cast("int")
     dealt = members.withColumn("k", F.pmod(F.xxhash64("doc_id", "bucket"), blocks).cast("int"))
     met = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.withColumns({"lo": F.least("k", "j"), "hi": F.greatest("k", "j")}).select("bucket", "lo", "hi", "k", "doc_id", "comp", "sig")
+    met = met.withColumns({"lo": F.least("k", "j"), "hi": F.greatest("k", "j")}).select("bucket", "lo", "hi", "k", "doc_id", "comp")
     steps = least_matches(s)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), s.hashes)
-        ids, comp, k = (pdf[c].to_numpy() for c in ("doc_id", "comp", "k"))
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        rows, columns, out = np.flatnonzero(k == lo), np.flatnonzero(k == hi), []
-        for r in rows:
-            others = columns[(comp[columns] != comp[r]) & ((ids[columns] > ids[r]) if lo == hi else True)]
-            good = others[_survivors(np.broadcast_to(sig[r], (len(others), s.hashes)), sig[others], steps)]
-            out += [(min(ids[r], ids[g]), max(ids[r], ids[g])) for g in good]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return met.groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
-
-
-def exact_links(pairs: DataFrame, docs: DataFrame, s: Settings, name: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. Only documents in a pair are read into sets."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+    names = ["bucket", "lo", "hi", "k", "doc_id", "comp"]
+
+    def involved(pdf: pd.DataFrame) -> pd.DataFrame:
+        mask = _open_pairs(pdf, s, steps)
+        return pdf.loc[mask.any(axis=0) | mask.any(axis=1), names]
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        mask = _open_pairs(pdf, s, steps)
+        sets = [np.frombuffer(h, U) for h in pdf["h"]]
+        size, common, ids = np.array([len(x) for x in sets]), _common(sets), pdf["doc_id"].to_numpy()
+        union = size[:, None] + size[None, :] - common
+        i, j = np.nonzero(mask & (common > 0) & (100 * common >= s.percent * union))
+        return pd.DataFrame(_forest([(int(ids[x]), int(ids[y])) for x, y in zip(i, j, strict=True)]), columns=["a", "b"], dtype="int64")
+
+    schema = "bucket long, lo int, hi int, k int, doc_id long, comp long"
+    first = met.join(sketches, "doc_id").groupBy("bucket", "lo", "hi").applyInPandas(involved, schema)
+    first = materialize(first, "mh-involved")
+    sets = shingle_sets(first.select("doc_id"), docs, s, "mh-rest")
+    second = first.join(sketches, "doc_id").join(sets, "doc_id").groupBy("bucket", "lo", "hi").applyInPandas(linked, "a long, b long")
+    return materialize(second.distinct(), "mh-rest-links")
+
+
+def shingle_sets(ids: DataFrame, docs: DataFrame, s: Settings, name: str) -> DataFrame:
+    """(doc_id, h: the full shingle set as packed 64-bit hashes) of the documents in ids."""
+    ids = materialize(ids.distinct(), f"{name}-ids")
     n = ids.count()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +260,12 @@ def exact_links(pairs: DataFrame, docs: DataFrame, s: Settings, name: str) -> Da
                 part = batch.iloc[at : at + 500]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "h": [shingles(t, s.width)[0].tobytes() for t in part["text"]]})
 
-    got = materialize(only_ids(docs.select("doc_id", "text"), ids, "doc_id", n).mapInPandas(sets, "doc_id long, h binary"), f"{name}-sets")
+    return materialize(only_ids(docs.select("doc_id", "text"), ids, "doc_id", n).mapInPandas(sets, "doc_id long, h binary"), f"{name}-sets")
+
+
+def exact_links(pairs: DataFrame, docs: DataFrame, s: Settings, name: str) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold. Only documents in a pair are read into sets."""
+    got = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, s, name)
     both = pairs.join(got.toDF("a", "ha"), "a").join(got.toDF("b", "hb"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,23 +301,24 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     n_copies = copies.count()
     base = without_ids(made.filter("n_shingles > 0 and doc_id is not null"), copies.select("doc_id"), "doc_id", n_copies)
     # candidates: every document of a bucket with the bucket's smallest
-    bands = materialize(base.select("doc_id", F.explode("bands").alias("bucket")), "mh-bands")
-    hubs = materialize(bands.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "mh-hubs")
-    stars = bands.join(hubs, "bucket").filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sketches = made.select("doc_id", "sig").filter("sig is not null")
+    bands = materialize(base.select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.explode("bands").alias("bucket")), "mh-bands")
+    low = F.min(F.struct("doc_id", "size"))
+    hubs = bands.groupBy("bucket").agg(low.alias("low"), F.count("*").alias("n")).filter("n > 1")
+    hubs = materialize(hubs.select("bucket", F.col("low.doc_id").alias("hub"), F.col("low.size").alias("hub_size"), "n"), "mh-hubs")
+    fits = (F.col("doc_id") != F.col("hub")) & _size_fits(F.col("size"), F.col("hub_size"), s)
+    stars = bands.join(hubs, "bucket").filter(fits).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    sketches = made.select("doc_id", "n_shingles", "sig").filter("sig is not null")
     passed = materialize(bayes_verify(stars, sketches, s), "mh-stars")
     links = exact_links(passed, docs, s, "mh-star")
     found = materialize(connected_components(links), "mh-components")
     # the rest of the buckets that still hold several components, without their smallest
     wide = hubs.filter("n > 2").select("bucket", "hub", "n")
-    members = bands.join(wide, "bucket").filter("doc_id <> hub")
+    members = bands.select("bucket", "doc_id").join(wide, "bucket").filter("doc_id <> hub")
     members = members.join(found.toDF("doc_id", "component"), "doc_id", "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     members = materialize(members, "mh-members")
     mixed = materialize(members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket"), "mh-mixed")
     if not mixed.isEmpty():
-        open_ = members.join(mixed, "bucket").join(sketches, "doc_id")
-        more = materialize(block_pairs(open_, s), "mh-rest")
-        extra = exact_links(more, docs, s, "mh-rest")
+        extra = block_links(members.join(mixed, "bucket"), sketches, docs, s)
         if not extra.isEmpty():
             found = materialize(connected_components(links.union(extra)), "mh-components")
     return _labelled(made, copies, found)
