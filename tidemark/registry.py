@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, news
+from tidemark.plans import market, news, retrieval
 
 FLAGSHIP = "market_candidate_rank"
-_ALL = {**market.QUERIES, **news.QUERIES}
+_ALL = {**market.QUERIES, **news.QUERIES, **retrieval.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
