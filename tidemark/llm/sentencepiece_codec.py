@@ -22,6 +22,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,7 +103,7 @@ class Automaton:
 class Encoder:
     """Encodes words; the forward states of a prefix shared with the word before are kept, so sorted words cost only their own tails. Pair checks are kept up to a bound."""
 
-    PAIRS = 2_000_000
+    PAIRS = 400_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = v = vocabulary
@@ -274,8 +275,8 @@ def _byte_table(v: Vocabulary) -> np.ndarray:
     return out
 
 
-#: Characters of the texts that share a trie.
-BATCH_CHARS = 16_000_000
+#: Bytes of the texts that share a trie.
+BATCH_BYTES = 3_000_000
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -287,18 +288,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared.value)
         for batch in batches:
-            at = 0
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            while at < len(texts):  # runs of texts whose words fit in memory
-                end, chars = at + 1, len(texts[at])
-                while end < len(texts) and chars + len(texts[end]) <= BATCH_CHARS:
-                    chars += len(texts[end])
-                    end += 1
-                ids, counts = encode_batch(texts[at:end], encoder)
+            column = batch.column(batch.schema.get_field_index(text))
+            size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            run_of = np.cumsum(size) // BATCH_BYTES  # runs of texts whose words fit in memory
+            for at, end in zip(starts := np.flatnonzero(np.diff(run_of, prepend=-1)), [*starts[1:], len(size)], strict=True):
+                ids, counts = encode_batch([t or "" for t in column.slice(at, end - at).to_pylist()], encoder)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
                 part = batch.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "piece_ids"])
-                at = end
 
     return out.mapInArrow(run, schema)
 
