@@ -13,6 +13,7 @@ task are bounded by the rows that enter it, also where thousands of vectors are
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,14 +33,14 @@ class Settings:
     """cosine: threshold. block: expected vectors of a block. leaf: points below which a node is not split."""
 
     cosine: float = 0.98
-    block: int = 512
+    block: int = 1024
     leaf: int = 8
     seed: int = 4
 
 
 @dataclass
 class Node:
-    """center: a point; radius: the largest distance of a point below to it; points: those below (leaves only)."""
+    """center: a point; radius: the largest distance of a point below to it; points: all those below."""
 
     center: int
     radius: float
@@ -71,27 +72,46 @@ def build(x: np.ndarray, leaf: int = 8) -> Node:
     return split(0, everyone, np.sqrt(((x - x[0]) ** 2).sum(axis=1)), 2.0)
 
 
-def dual_pairs(left: Node, right: Node, x: np.ndarray, y: np.ndarray, limit: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Arrays of point pairs that cover every pair (i of x, j of y) at distance limit or less, at most once; with same, trees are one tree and each unordered pair comes once."""
-    stack = [(left, right)]
+def dual_pairs(left: Node, right: Node, x: np.ndarray, y: np.ndarray, limit: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(i, j, whole) that cover every pair of points (of x, of y) at distance limit or less, at most once; with same, both are one tree and each unordered pair comes once.
+
+    whole: every point of i is within limit of every point of j (of a node pair whose balls are so
+    near that no pair needs a look; for a node with itself i and j are the same points). Otherwise i and j are pairs, still to be checked.
+    """
+    stack, pi, pj = [(left, right, float(np.sqrt(max(0.0, 2.0 - 2.0 * (x[left.center] @ y[right.center])))))], [], []
+    held = 0
     while stack:
-        a, b = stack.pop()
+        a, b, gap = stack.pop()
         own = same and a is b
+        if own and len(a.points) == 1:
+            continue
+        if gap + a.radius + b.radius <= limit - 1e-7:
+            yield a.points, b.points, True
+            continue
         if not a.children and not b.children:
             if own:
                 i, j = np.triu_indices(len(a.points), 1)
-                yield a.points[i], b.points[j]
+                i, j = a.points[i], b.points[j]
             else:
-                yield np.repeat(a.points, len(b.points)), np.tile(b.points, len(a.points))
+                i, j = np.repeat(a.points, len(b.points)), np.tile(b.points, len(a.points))
+            pi.append(i)
+            pj.append(j)
+            held += len(i)
+            if held > 200_000:
+                yield np.concatenate(pi), np.concatenate(pj), False
+                pi, pj, held = [], [], 0
             continue
         us = a.children if a.children and (own or not b.children or a.radius >= b.radius) else [a]
         vs = b.children if own or us[0] is a else [b]
         cu, cv = x[[u.center for u in us]], y[[v.center for v in vs]]
         apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (cu @ cv.T)))
         bound = limit + SLACK + 1e-7 + np.array([u.radius for u in us])[:, None] + np.array([v.radius for v in vs])[None, :]
-        for i, j in zip(*np.nonzero(apart <= bound), strict=True):
-            if not own or i <= j:
-                stack.append((us[i], vs[j]))
+        near = apart <= bound
+        if own:
+            near &= np.arange(len(us))[:, None] <= np.arange(len(vs))[None, :]
+        stack += [(us[i], vs[j], float(apart[i, j])) for i, j in zip(*(z.tolist() for z in np.nonzero(near)), strict=True)]
+    if pi:
+        yield np.concatenate(pi), np.concatenate(pj), False
 
 
 def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -120,53 +140,73 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return v.filter("vec_id is not null and label is not null and v is not null").filter(good)
 
 
-def _blocks_met(rows: DataFrame, s: Settings) -> DataFrame:
-    """rows(label, k, rep, n, v) once for every pair of blocks of a label that can hold a link, as (label, lo, hi, k, ...)."""
+def _packed_blocks(rows: DataFrame, s: Settings) -> DataFrame:
+    """One row per block of rows(label, dim, k, rep, n, v): its ball (c, r) and, packed, its ids, counts, vectors and cover tree, so a tree is built once however many blocks it meets."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(pdf["v"].to_numpy())
+        unit = v / np.sqrt((v * v).sum(axis=1))[:, None]
+        c = unit.mean(axis=0)
+        single = v.astype(np.float32)
+        stored = single if (single == v).all() else v
+        block = (pdf["rep"].to_numpy(), pdf["n"].to_numpy(), stored, build(unit, s.leaf))
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "k": [pdf["k"].iloc[0]], "c": [c], "r": [float(np.sqrt(((unit - c) ** 2).sum(axis=1)).max())], "block": [pickle.dumps(block, protocol=5)]})
 
-    def ball(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy())
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        c = x.mean(axis=0)
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "k": [pdf["k"].iloc[0]], "c": [c], "r": [float(np.sqrt(((x - c) ** 2).sum(axis=1)).max())]})
+    return materialize(rows.groupBy("label", "dim", "k").applyInPandas(pack, "label string, dim int, k int, c array<double>, r double, block binary"), "ct-packed")
 
-    balls = materialize(rows.groupBy("label", "dim", "k").applyInPandas(ball, "label string, dim int, k int, c array<double>, r double"), "ct-balls")
-    limit = float(np.sqrt(2 - 2 * s.cosine)) + 1e-6
-    other = balls.select("label", "dim", F.col("k").alias("j"), F.col("c").alias("d"), F.col("r").alias("q"))
+
+def _blocks_met(packed: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of blocks (label, dim, lo, hi) of a label whose balls are near enough to hold a link."""
+    limit = float(np.sqrt(max(0.0, 2 - 2 * s.cosine))) + 1e-6
+    left = packed.select("label", "dim", F.col("k").alias("lo"), "c", "r")
+    right = packed.select("label", "dim", F.col("k").alias("hi"), F.col("c").alias("d"), F.col("r").alias("q"))
     apart = F.sqrt(F.aggregate(F.zip_with("c", "d", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    met = balls.join(other, ["label", "dim"]).filter(apart <= F.col("r") + F.col("q") + limit)
-    met = materialize(met.select("label", "dim", "k", "j"), "ct-met")
-    return rows.join(met, ["label", "dim", "k"]).withColumns({"lo": F.least("k", "j"), "hi": F.greatest("k", "j")}).drop("j")
+    met = left.join(right, ["label", "dim"]).filter((F.col("lo") <= F.col("hi")) & (apart <= F.col("r") + F.col("q") + limit))
+    return materialize(met.select("label", "dim", "lo", "hi"), "ct-met")
 
 
-def _block_links(met: DataFrame, s: Settings) -> DataFrame:
+def _block_links(met: DataFrame, packed: DataFrame, s: Settings) -> DataFrame:
     """Per pair of blocks: (a, b null, n) link counts of a, copies of the other side counted, and (a, b, 0) links of a spanning forest."""
     limit = float(np.sqrt(max(0.0, 2 - 2 * s.cosine)))
+    both = met.join(packed.select("label", "dim", F.col("k").alias("lo"), F.col("block").alias("x")), ["label", "dim", "lo"])
+    both = both.join(packed.select("label", "dim", F.col("k").alias("hi"), F.col("block").alias("y")), ["label", "dim", "hi"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["v"].to_numpy())
+    def unpacked(raw: bytes) -> tuple:
+        ids, n, v, root = pickle.loads(raw)
+        v = v.astype(np.float64)
         norm = np.sqrt((v * v).sum(axis=1))
-        unit = v / norm[:, None]
-        ids, n, k = (pdf[c].to_numpy() for c in ("rep", "n", "k"))
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        at, to = np.flatnonzero(k == lo), np.flatnonzero(k == hi)
-        if not len(at) or not len(to):
-            return pd.DataFrame({"a": [], "b": [], "n": []})
-        left = build(unit[at], s.leaf)
-        right = left if lo == hi else build(unit[to], s.leaf)
-        count, pairs = np.zeros(len(ids), np.int64), []
-        for i, j in dual_pairs(left, right, unit[at], unit[to], limit, lo == hi):
-            i, j = at[i], to[j]
-            cosine = (v[i] * v[j]).sum(axis=1) / (norm[i] * norm[j])
-            i, j = i[cosine >= s.cosine], j[cosine >= s.cosine]
-            np.add.at(count, i, n[j])
-            np.add.at(count, j, n[i])
-            pairs += _forest(list(zip(ids[i].tolist(), ids[j].tolist(), strict=True)))
-        some = np.flatnonzero(count)
+        return ids, n, v, norm, v / norm[:, None], root
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts, pairs = {}, []
+
+        def count(ids: np.ndarray, weight: np.ndarray) -> None:
+            for key, w in zip(ids.tolist(), weight.tolist(), strict=True):
+                counts[key] = counts.get(key, 0) + w
+
+        for lo, hi, x, y in pdf[["lo", "hi", "x", "y"]].itertuples(index=False):
+            same = lo == hi
+            a = unpacked(x)
+            b = a if same else unpacked(y)
+            for i, j, whole in dual_pairs(a[5], b[5], a[4], b[4], limit, same):
+                if whole:  # counts and a star, not the pairs
+                    own = same and i is j
+                    count(a[0][i], b[1][j].sum() - (b[1][j] if own else np.zeros(len(i), np.int64)))
+                    pairs += [(int(a[0][i[0]]), int(p)) for p in b[0][j]]
+                    if not own:
+                        count(b[0][j], np.full(len(j), a[1][i].sum()))
+                        pairs += [(int(b[0][j[0]]), int(p)) for p in a[0][i[1:]]]
+                    continue
+                cosine = (a[2][i] * b[2][j]).sum(axis=1) / (a[3][i] * b[3][j])
+                i, j = i[cosine >= s.cosine], j[cosine >= s.cosine]
+                count(a[0][i], b[1][j])
+                count(b[0][j], a[1][i])
+                pairs += _forest(list(zip(a[0][i].tolist(), b[0][j].tolist(), strict=True)))
         forest = _forest(pairs)
-        out = pd.DataFrame({"a": [*ids[some], *(p[0] for p in forest)], "b": [*([None] * len(some)), *(p[1] for p in forest)], "n": [*count[some], *([0] * len(forest))]})
+        out = pd.DataFrame({"a": [*counts, *(p[0] for p in forest)], "b": [*([None] * len(counts)), *(p[1] for p in forest)], "n": [*counts.values(), *([0] * len(forest))]})
         return out.astype({"a": "Int64", "b": "Int64", "n": "Int64"})
 
-    return met.groupBy("label", "dim", "lo", "hi").applyInPandas(run, "a long, b long, n long")
+    return both.groupBy("label", "dim", "lo", "hi").applyInPandas(run, "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -188,8 +228,8 @@ def near_vectors(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     first = first.select("label", "dim", F.col("vec_id").alias("rep"), "v").join(counts, "rep", "left").withColumn("n", F.coalesce("n", F.lit(1)).cast("long"))
     per_label = materialize(first.groupBy("label").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks")), "ct-labels")
     dealt = first.join(per_label, "label").withColumn("k", F.pmod(F.xxhash64("rep", F.lit(s.seed)), "blocks").cast("int")).drop("blocks")
-    dealt = materialize(dealt, "ct-blocks")
-    made = materialize(_block_links(_blocks_met(dealt, s), s), "ct-links")
+    packed = _packed_blocks(dealt, s)
+    made = materialize(_block_links(_blocks_met(packed, s), packed, s), "ct-links")
     linked = made.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     edges = made.filter("b is not null").select("a", "b").union(copies.select(F.col("rep").alias("a"), F.col("vec_id").alias("b")))
     component = connected_components(edges)
