@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import claims, market, news, retrieval, runs
+from tidemark.plans import claims, documents, market, news, retrieval, runs, streams
 
 FLAGSHIP = "market_candidate_rank"
-_ALL = {**market.QUERIES, **news.QUERIES, **retrieval.QUERIES, **claims.QUERIES, **runs.QUERIES}
+_ALL = {**market.QUERIES, **news.QUERIES, **retrieval.QUERIES, **claims.QUERIES, **runs.QUERIES, **documents.QUERIES, **streams.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
