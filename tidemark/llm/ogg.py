@@ -132,6 +132,8 @@ def demux(media: bytes) -> tuple[dict[int, Stream], int]:
                     s.packets.append(bytes(s.part))
                     s.granules.append(None)
                 s.part, skip = None, False
+        if skip:  # all of the page belongs to the lost packet
+            s.part = None
         if granule >= 0 and s.granules:
             s.granules[-1] = granule
         at = end
