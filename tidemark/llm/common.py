@@ -35,6 +35,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most rows rows from now on (fewer, if the session says so): with whole texts a batch of the usual size takes tens of megabytes, in the JVM and in each worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of a value's decimal text, modulo parts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

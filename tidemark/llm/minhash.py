@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, only_ids, table, without_ids
+from tidemark.llm.common import materialize, only_ids, small_batches, table, without_ids
 from tidemark.llm.components import connected_components
 from tidemark.llm.textnum import U, mix, word_hashes
 
@@ -292,6 +292,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     component: a link of any of them counts. Rows with a null doc_id are left alone, with a null
     component and kept. Other columns are ignored, so clashing names do no harm.
     """
+    small_batches(docs.sparkSession)
     made = materialize(sketch(docs, s), "mh-sketch")
     # classes of equal word sequences
     heads = made.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 
 MODEL = os.environ.get("TIDEMARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -279,29 +279,48 @@ def _byte_table(v: Vocabulary) -> np.ndarray:
 BATCH_BYTES = 3_000_000
 
 
+def text_runs(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in runs of about most bytes of text: small batches are joined, large ones cut; a longer text is a run of its own."""
+    held, total = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        run_of = np.cumsum(size) // most
+        starts = np.flatnonzero(np.diff(run_of, prepend=-1))
+        for at, end in zip(starts, [*starts[1:], len(size)], strict=True):
+            if held and total + int(size[at:end].sum()) > most:
+                yield joined()
+                held, total = [], 0
+            held.append(batch.slice(at, end - at))
+            total += int(size[at:end].sum())
+    if held:
+        yield joined()
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """docs with piece_ids (array of int; a column of that name is replaced): the whole text's ids, none for a null or empty text. Repeated rows are encoded alike."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     out = docs.drop("piece_ids")
     schema = T.StructType([*out.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared.value)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            run_of = np.cumsum(size) // BATCH_BYTES  # runs of texts whose words fit in memory
-            for at, end in zip(starts := np.flatnonzero(np.diff(run_of, prepend=-1)), [*starts[1:], len(size)], strict=True):
-                ids, counts = encode_batch([t or "" for t in column.slice(at, end - at).to_pylist()], encoder)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
-                part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "piece_ids"])
+        for part in text_runs(batches, text, BATCH_BYTES):
+            column = part.column(part.schema.get_field_index(text))
+            ids, counts = encode_batch([t or "" for t in column.to_pylist()], encoder)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "piece_ids"])
 
     return out.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", into: str = "decoded") -> DataFrame:
     """docs with the text that ids stand for (a column of that name is replaced); bytes that are no UTF-8 become replacement characters, a null array an empty text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     out = docs.drop(into)
     schema = T.StructType([*out.schema.fields, T.StructField(into, T.StringType())])
