@@ -45,7 +45,7 @@ class Settings:
     bands: int = 38
     rows: int = 5
     miss: float = 1e-6
-    block: int = 256
+    block: int = 1024
     seed: int = 3
 
     @property
@@ -186,10 +186,10 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     owner, code = owner[again], number[code[again]]
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
-    out = np.zeros((len(sets), len(sets)))
-    for first in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
-        at, to = np.searchsorted(code, (first, first + 4096))
-        part = np.zeros((len(sets), 4096), np.float32)
+    out = np.zeros((len(sets), len(sets)), np.float32)  # counts below 2**24 are exact
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, 1024):
+        at, to = np.searchsorted(code, (first, first + 1024))
+        part = np.zeros((len(sets), 1024), np.float32)
         part[owner[at:to], code[at:to] - first] = 1
         out += part @ part.T
     return out
@@ -237,8 +237,10 @@ def block_links(members: DataFrame, sketches: DataFrame, docs: DataFrame, s: Set
         mask = _open_pairs(pdf, s, steps)
         sets = [np.frombuffer(h, U) for h in pdf["h"]]
         size, common, ids = np.array([len(x) for x in sets]), _common(sets), pdf["doc_id"].to_numpy()
-        union = size[:, None] + size[None, :] - common
-        i, j = np.nonzero(mask & (common > 0) & (100 * common >= s.percent * union))
+        i, j = np.nonzero(mask)
+        shared = common[i, j].astype(np.int64)
+        good = (shared > 0) & (100 * shared >= s.percent * (size[i] + size[j] - shared))
+        i, j = i[good], j[good]
         return pd.DataFrame(_forest([(int(ids[x]), int(ids[y])) for x, y in zip(i, j, strict=True)]), columns=["a", "b"], dtype="int64")
 
     schema = "bucket long, lo int, hi int, k int, doc_id long, comp long"
