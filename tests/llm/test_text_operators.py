@@ -266,6 +266,15 @@ def test_minhash_matches_brute_force(spark, percent, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_minhash_rows_that_share_an_id_share_a_component(spark):
+    base = [f"w{k}" for k in range(40)]
+    other = [f"v{k}" for k in range(40)]
+    rows = [(3, " ".join(base)), (5, " ".join(base)), (5, " ".join(other)), (9, " ".join([*other, "x"])), (7, " ".join([*base, "y"])), (8, "none alike")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3), (7, 3), (8, 8)}
+
+
 def test_minhash_edges(spark):
     df = odd_docs(spark, texts(9, 6)).unionByName(spark.createDataFrame([(None, "a b c", None, None, 0)], DOCS))
     out = minhash.near_duplicates(df).collect()

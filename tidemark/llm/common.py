@@ -43,6 +43,13 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
+def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text and lang of documents, dealt over all cores where the files give fewer partitions than there are cores (a small table in one row group)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of a value's decimal text, modulo parts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
@@ -53,11 +60,6 @@ def uniform(column: str, seed: int) -> Column:
     return (F.xxhash64(F.col(column), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
 
 
-def without_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
-    """Rows whose key is not in ids; ids are broadcast only when few."""
-    return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, key, "left_anti")
-
-
 def only_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     """Rows whose key is in ids; ids are broadcast only when few."""
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, key, "left_semi")

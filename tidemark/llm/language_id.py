@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, small_batches, table, uniform
+from tidemark.llm.common import fold, small_batches, text_table, uniform
 from tidemark.llm.textnum import U, pieces
 
 UNKNOWN = "und"
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFra
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir)
     held = fold("doc_id", 4) == 2
     model = train(docs.filter(~held))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")

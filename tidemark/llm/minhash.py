@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, only_ids, small_batches, table, without_ids
+from tidemark.llm.common import BROADCAST_IDS, materialize, only_ids, small_batches, text_table
 from tidemark.llm.components import connected_components
 from tidemark.llm.textnum import U, mix, word_hashes
 
@@ -162,11 +162,13 @@ def _open_pairs(pdf: pd.DataFrame, s: Settings, steps: list[tuple[int, int]]) ->
     """A mask over (documents of block lo, documents of block hi): pairs of different components that survive the batches and agree on no earlier band (there they have met before)."""
     sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), s.hashes)
     keys = np.stack([band_keys(x, s) for x in sig])
-    band = int(np.flatnonzero((keys == pdf["bucket"].to_numpy()[:, None]).all(axis=0))[0])
+    hit = keys == pdf["bucket"].to_numpy()[:, None]
+    band = int(hit.sum(axis=0).argmax())
     ids, comp, k, n = (pdf[c].to_numpy() for c in ("doc_id", "comp", "k", "n_shingles"))
     lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
     mask = np.zeros((len(pdf), len(pdf)), bool)
-    rows, columns = np.flatnonzero(k == lo), np.flatnonzero(k == hi)
+    here = hit[:, band]  # another text of a repeated doc_id need not be in this bucket
+    rows, columns = np.flatnonzero((k == lo) & here), np.flatnonzero((k == hi) & here)
     for r in rows:
         fit = (comp[columns] != comp[r]) & _size_fits(n[columns], n[r], s)
         if lo == hi:
@@ -300,9 +302,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     heads = made.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
     heads = materialize(heads.filter("n > 1").select("digest", "head"), "mh-heads")
     copies = made.select("doc_id", "digest").join(heads, "digest").filter("doc_id <> head")
-    copies = materialize(copies.select("doc_id", "head"), "mh-copies")
-    n_copies = copies.count()
-    base = without_ids(made.filter("n_shingles > 0 and doc_id is not null"), copies.select("doc_id"), "doc_id", n_copies)
+    copies = materialize(copies.select("doc_id", "digest", "head").distinct(), "mh-copies")
+    gone = F.broadcast(copies) if copies.count() <= BROADCAST_IDS // 4 else copies
+    base = made.filter("n_shingles > 0 and doc_id is not null").join(gone.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
     # candidates: every document of a bucket with the bucket's smallest
     bands = materialize(base.select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.explode("bands").alias("bucket")), "mh-bands")
     low = F.min(F.struct("doc_id", "size"))
@@ -312,7 +314,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     stars = bands.join(hubs, "bucket").filter(fits).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     sketches = made.select("doc_id", "n_shingles", "sig").filter("sig is not null")
     passed = materialize(bayes_verify(stars, sketches, s), "mh-stars")
-    links = exact_links(passed, docs, s, "mh-star")
+    links = exact_links(passed, docs, s, "mh-star").union(copies.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
     found = materialize(connected_components(links), "mh-components")
     # the rest of the buckets that still hold several components, without their smallest
     wide = hubs.filter("n > 2").select("bucket", "hub", "n")
@@ -324,21 +326,13 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         extra = block_links(members.join(mixed, "bucket"), sketches, docs, s)
         if not extra.isEmpty():
             found = materialize(connected_components(links.union(extra)), "mh-components")
-    return _labelled(made, copies, found)
-
-
-def _labelled(made: DataFrame, copies: DataFrame, found: DataFrame) -> DataFrame:
-    """Every row with its component: that of its class head, or its own."""
-    found = found.withColumnRenamed("id", "head")
-    moved = copies.join(found, "head", "left").select("doc_id", F.coalesce("component", "head").alias("component"))
-    label = moved.union(found.select(F.col("head").alias("doc_id"), "component")).groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = made.select("doc_id", "n_shingles").join(materialize(label, "mh-labels"), "doc_id", "left")
+    out = made.select("doc_id", "n_shingles").join(found.toDF("doc_id", "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), Settings(percent=85))
+    return near_duplicates(text_table(spark, sf_dir), Settings(percent=85))
 
 
 def op3_sql() -> str:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import small_batches, text_table
 
 FRAME = 192  # samples of a frame; payloads are padded to whole frames
 PACKET = 4800  # samples of a packet
@@ -200,5 +200,5 @@ def decode_media(docs: DataFrame, keep: list[str], media: str = "media") -> Data
 
 
 def op5_ogg(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf_dir).select("doc_id", "text")
     return decode_media(encode_media(docs), ["doc_id"]).drop("payload")

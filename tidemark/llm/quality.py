@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, small_batches, table, uniform
+from tidemark.llm.common import fold, small_batches, table, text_table, uniform
 from tidemark.llm.textnum import U, mix, pieces, word_hashes
 
 THRESHOLD = 0.3
@@ -151,6 +151,6 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir)
     model = train(labelled(docs, table(spark, sf_dir, "labels")))
     return score(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

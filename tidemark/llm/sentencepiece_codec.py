@@ -20,14 +20,13 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import small_batches, text_table
 
 MODEL = os.environ.get("TIDEMARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -339,7 +338,7 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", into
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, piece_ids, decoded_sha256 (of the text decoded from the ids) and exact: whether that is the text itself."""
     v = Vocabulary.load()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf_dir).select("doc_id", "text")
     back = decode(encode(docs, v), v)
     exact = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
     return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), exact.alias("exact"))
