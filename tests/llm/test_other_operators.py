@@ -98,6 +98,15 @@ def test_cover_tree_matches_brute_force(spark, seed, block):
     assert cover_tree.near_vectors(df.limit(0)).count() == 0
 
 
+def test_cover_tree_rows_that_share_an_id(spark):
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [0.001, 1.0]
+    rows = [(3, a, 0), (5, a, 0), (5, b, 0), (9, c, 0), (7, [1.0, 1.0], 0), (7, [1.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = cover_tree.near_vectors(df).collect()
+    assert len(got) == len(rows) and {(r.vec_id, r.component_id) for r in got} == {(3, 3), (5, 3), (9, 3), (7, 7)}
+    assert {r.n_links for r in got if r.vec_id == 7} == {1}
+
+
 def test_cover_tree_invariants_and_pruning():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(1, 8)) + rng.normal(size=(40, 8)) * 0.05 for _ in range(10)])

@@ -215,17 +215,18 @@ def near_vectors(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     Only vectors of the same non-null label and length can be linked; null, zero and non-finite
     vectors have no links. Equal vectors of a label are one class, compared once and counted as
     often as there are rows. component_id is the smallest vec_id reachable. Rows that share a vec_id share a component and
-    count as separate vectors. Other columns are ignored. A null vec_id has no links and is kept.
+    count as separate vectors; where their vectors differ, n_links is that of one class of them. Other columns are ignored. A null vec_id has no links and is kept.
     """
     good = _usable(vectors).withColumns({"dim": F.size("v"), "label": F.col("label").cast("string"), "code": F.xxhash64("v"), "code2": F.sha2(F.to_json("v"), 256)})
     good = materialize(good, "ct-vectors")
     size = good.select("vec_id", "label", "code", "code2")
     heads = materialize(size.groupBy("label", "code", "code2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "ct-heads")
     several = materialize(heads.filter("n > 1"), "ct-several")
-    copies = materialize(size.join(several, ["label", "code", "code2"]).select("vec_id", "rep", "n"), "ct-copies")
-    counts = several.select("rep", "n")
-    first = good.join(copies.filter("vec_id <> rep").select("vec_id").distinct(), "vec_id", "left_anti").dropDuplicates(["vec_id", "label", "code"])
-    first = first.select("label", "dim", F.col("vec_id").alias("rep"), "v").join(counts, "rep", "left").withColumn("n", F.coalesce("n", F.lit(1)).cast("long"))
+    same = ["label", "code", "code2"]
+    copies = materialize(size.join(several, same).select("vec_id", "rep", "n", *same), "ct-copies")
+    first = good.join(copies.filter("vec_id <> rep").select("vec_id", *same).distinct(), ["vec_id", *same], "left_anti").dropDuplicates(["vec_id", *same])
+    first = first.withColumnRenamed("vec_id", "rep").join(several, ["rep", *same], "left")
+    first = first.select("label", "dim", "rep", "v", F.coalesce("n", F.lit(1)).cast("long").alias("n"))
     per_label = materialize(first.groupBy("label").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks")), "ct-labels")
     dealt = first.join(per_label, "label").withColumn("k", F.pmod(F.xxhash64("rep", F.lit(s.seed)), "blocks").cast("int")).drop("blocks")
     packed = _packed_blocks(dealt, s)
