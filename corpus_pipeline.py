@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, minhash, mixing, quality, sentencepiece_codec
-from tidemark.llm.common import BROADCAST_IDS, materialize, table
+from tidemark.llm.common import BROADCAST_IDS, discard, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Calibrated probability below which a language is not believed.
@@ -38,6 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     left = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*COLUMNS)
     ids = judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     repeated = materialize(ids.select("doc_id"), "pipeline-repeated")
+    discard(spark, ("mh-", "cc-"))  # what was needed is in gone and repeated
     if repeated.isEmpty():
         return left
     once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])

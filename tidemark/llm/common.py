@@ -28,10 +28,24 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: (name, path) of the tables that this driver has written and not discarded.
+_WRITTEN: list[tuple[str, str]] = []
+
+
+def discard(spark: SparkSession, prefixes: tuple[str, ...]) -> None:
+    """Deletes the materialised tables whose names begin with one of prefixes; nothing may read them later."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for item in [x for x in _WRITTEN if x[0].startswith(prefixes)]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(item[1])
+        at.getFileSystem(hadoop).delete(at, True)
+        _WRITTEN.remove(item)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder and read again: lineage ends there, and any executor can reread it."""
     path = f"{shared_root(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append((name, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
