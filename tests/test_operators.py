@@ -81,6 +81,32 @@ def test_similar_titles_follow_arrival_order(spark):
     assert {r.doc_id: r.leader for r in N.similar_title_clusters(df, ["b"]).collect()} == want
 
 
+def test_similar_titles_over_the_whole_table(spark, sf_dir, monkeypatch):
+    from tidemark.operators import titles
+    from tidemark.plans.news import similar_titles
+    from tidemark.sources.tables import news_documents
+
+    monkeypatch.setattr(titles, "ROUND", 50)
+    docs = news_documents(spark, sf_dir).select("doc_id", "content_hash", N.normalized_title(F.col("title")).alias("norm")).orderBy("doc_id").collect()
+    leaders, want = [], {}
+    for i, h, t in docs:
+        want[i] = next((j for j, g, s in leaders if g == h or SequenceMatcher(None, t or "", s).ratio() >= 0.8), i)
+        if want[i] == i:
+            leaders.append((i, h, t or ""))
+    assert {r.doc_id: r.leader for r in similar_titles(spark, sf_dir).collect()} == want
+    assert any(i % 97 != j % 97 for i, j in want.items())
+
+
+def test_title_bounds_lose_no_pair():
+    from tidemark.operators.titles import Titles, candidates
+
+    rng = random.Random(2)
+    a, b = (["".join(rng.choice("aeno中é") for _ in range(rng.choice([0, 1, 5, 12, 63, 64, 65, 90]))) for _ in range(60)] for _ in range(2))
+    b[:20] = [s[:9] + s[10:] for s in a[:20]]
+    want = {(i, j) for i, s in enumerate(a) for j, t in enumerate(b) if SequenceMatcher(None, s, t).ratio() >= 0.8}
+    assert want and want <= set(zip(*(x.tolist() for x in candidates(Titles(a), Titles(b), 0.8))))
+
+
 def test_status_fold(spark):
     cases = {(): "UNAVAILABLE", ("FAILED",): "FAILED", ("EMPTY", "SUCCESS"): "SUCCESS", ("FAILED", "SUCCESS"): "PARTIAL"}
     for statuses, want in cases.items():

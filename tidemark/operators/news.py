@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.titles import leaders
+
 EVIDENCE, BACKGROUND, EXCLUDED = "EVIDENCE", "BACKGROUND", "EXCLUDED"
 #: Statuses a source can report; a pivot lists them all.
 STATUSES = ["SUCCESS", "EMPTY", "PARTIAL", "STALE", "UNAVAILABLE", "FAILED"]
@@ -65,36 +64,17 @@ def exact_clusters(docs: DataFrame) -> DataFrame:
 
 
 def similar_title_clusters(docs: DataFrame, block: list[str], ratio: float = 0.8) -> DataFrame:
-    """(doc_id, leader) by greedy clustering in doc_id order within a block: a document joins the
-    first cluster whose first document has the same hash or a title of at least ratio similarity.
+    """(doc_id, leader) by greedy clustering in doc_id order among documents of equal block columns (of
+    all documents where block is empty): a document joins the first cluster whose first document has the
+    same hash or a title of at least ratio similarity.
 
-    The outcome depends on arrival order and similarity is not transitive, so a block is walked in
-    sequence; blocks bound the work and run in parallel. Leaders only are compared.
+    Documents of equal hash and title share their fate, so each such pair is decided once.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[int, str, str]] = []
-        out = []
-        for i, h, title in pdf.sort_values("doc_id")[["doc_id", "content_hash", "norm"]].itertuples(index=False):
-            matcher = SequenceMatcher(None)
-            matcher.set_seq1(title)
-            found = None
-            for lead, lh, lt in leaders:
-                if h == lh:
-                    found = lead
-                    break
-                matcher.set_seq2(lt)
-                if matcher.real_quick_ratio() >= ratio and matcher.quick_ratio() >= ratio and SequenceMatcher(None, title, lt).ratio() >= ratio:
-                    found = lead
-                    break
-            if found is None:
-                leaders.append((i, h, title))
-                found = i
-            out.append((i, found))
-        return pd.DataFrame(out, columns=["doc_id", "leader"])
-
-    shaped = docs.select(*block, "doc_id", "content_hash", F.coalesce(normalized_title(F.col("title")), F.lit("")).alias("norm"))
-    return shaped.groupBy(*block).applyInPandas(walk, "doc_id long, leader long")
+    part = F.to_json(F.struct(*block)) if block else F.lit("")
+    shaped = docs.select(part.alias("part"), "doc_id", "content_hash", F.coalesce(normalized_title(F.col("title")), F.lit("")).alias("norm"))
+    key = ["part", "content_hash", "norm"]
+    led = leaders(shaped.groupBy(*key).agg(F.min("doc_id").alias("first")), ratio)
+    return shaped.join(led.drop("first"), key).select("doc_id", "leader")
 
 
 def sector_links(events: DataFrame, entities: DataFrame) -> DataFrame:

@@ -47,9 +47,8 @@ SELECT 'event-' || substr(sha256(hashes), 1, 24) AS event_id, title, coalesce(fi
 
 
 def similar_titles(spark, sf_dir):
-    """Greedy clusters of similar titles within a language, source and title length class."""
-    docs = news_documents(spark, sf_dir).withColumn("size_class", F.floor(F.length("title") / 20))
-    return N.similar_title_clusters(docs.filter("doc_id is not null"), ["lang", "source", "story", "size_class"])
+    """Greedy clusters of similar titles over all documents."""
+    return N.similar_title_clusters(news_documents(spark, sf_dir).filter("doc_id is not null"), [])
 
 
 def _entities(spark, sf_dir):
