@@ -228,10 +228,10 @@ KINDS_SQL = f"""WITH {NEWS_SQL} SELECT CASE WHEN doc_id % 4 <> 0 AND length(trim
 
 
 def recent_research(spark, sf_dir):
-    """F8: per source the first ten documents in arrival order that are not excluded and no older than a day before the cutoff."""
+    """F8: per source the first ten documents in arrival order that are not excluded and no older than seven days before the cutoff."""
     from tidemark.operators.market import ranked
 
-    week = F.col("published_us").isNull() | (F.col("published_us") >= CUTOFF_US - 86400000000)
+    week = F.col("published_us").isNull() | (F.col("published_us") >= CUTOFF_US - 7 * 86400000000)
     return ranked(_used(spark, sf_dir).filter((F.col("use") != N.EXCLUDED) & week), [F.asc("doc_id")], ["source"], 10, "ordinal").select("source", "doc_id", "use", "ordinal")
 
 

@@ -224,9 +224,9 @@ SELECT event_id, CASE WHEN status = 'RUNNING' AND coalesce(u <= {NOW_US}, false)
 
 
 def progress_replay(spark, sf_dir):
-    """The last 16 events of each user up to the first purchase worth over 90."""
+    """The last 256 events of each user up to the first purchase worth over 30."""
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", ((F.col("event_type") == "purchase") & (F.col("value") > 30)).alias("terminal"))
-    return R.replay_tail(e, "user_id", ["ts", "event_id"], 16, "terminal").select("user_id", "event_id", "terminal", "from_end")
+    return R.replay_tail(e, "user_id", ["ts", "event_id"], 256, "terminal").select("user_id", "event_id", "terminal", "from_end")
 
 
 REPLAY_SQL = """WITH e AS (SELECT user_id, ts, event_id, event_type = 'purchase' AND value > 30 AS terminal FROM events),

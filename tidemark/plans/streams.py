@@ -39,7 +39,7 @@ def cutoff(spark, sf_dir):
 
 
 def progress(spark, sf_dir):
-    return S.run_to_end(S.progress_bus(_events(spark, sf_dir), 16), "update")
+    return S.run_to_end(S.progress_bus(_events(spark, sf_dir), 256), "update")
 
 
 _CENTS = "CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents"
