@@ -34,3 +34,17 @@ def test_replay_holds_256_events(spark, sf_dir):
     got = runs.progress_replay(spark, sf_dir).groupBy("user_id").agg(F.collect_set("event_id").alias("ids")).collect()
     assert {r.user_id: set(r.ids) for r in got} == {k: set(v[-256:]) for k, v in live.items()}
     assert {r.user_id: r.kept for r in streams.progress(spark, sf_dir).collect()} == {k: len(v[-256:]) for k, v in live.items()}
+
+
+def test_runs_cover_every_order(spark, sf_dir):
+    from tidemark.plans import runs
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    kinds = {r.run_id: r.kind for r in runs.unified_runs(spark, sf_dir).collect()}
+    want = {r.o_orderkey: "data" if r.o_orderpriority == "5-LOW" else "content" for r in orders.collect()}
+    assert kinds == want and set(kinds.values()) == {"content", "data"}
+    assert runs.operations_summary(spark, sf_dir).first().total == len(want)
+    assert runs.registry_page(spark, sf_dir).first().total == orders.filter("o_orderstatus <> 'O'").count()
+    today = F.lit(runs.TODAY).cast("date")
+    days = orders.filter(F.to_date("o_orderdate").between(F.date_sub(today, 29), today)).count()
+    assert sum(r.runs for r in runs.daily_trend(spark, sf_dir).collect()) == days
