@@ -20,37 +20,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own and any other an error, as its executors could not see one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-#: (name, path) of the tables that this driver has written and not discarded.
-_WRITTEN: list[tuple[str, str]] = []
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written to the shared folder and read again: lineage ends there, and any executor can reread it."""
+    return Scratch().keep(df, name)
 
 
-def discard(spark: SparkSession, prefixes: tuple[str, ...]) -> None:
-    """Deletes the materialised tables whose names begin with one of prefixes; nothing may read them later."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for item in [x for x in _WRITTEN if x[0].startswith(prefixes)]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(item[1])
-        at.getFileSystem(hadoop).delete(at, True)
-        _WRITTEN.remove(item)
+class Scratch:
+    """The tables that one call writes; drop() deletes these and no others, once nothing reads them."""
 
+    def __init__(self) -> None:
+        self.paths: list[str] = []
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder and read again: lineage ends there, and any executor can reread it."""
-    path = f"{shared_root(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((name, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, spark: SparkSession) -> None:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(hadoop).delete(at, True)
+        self.paths.clear()
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most rows rows from now on (fewer, if the session says so): with whole texts a batch of the usual size takes tens of megabytes, in the JVM and in each worker."""
+    """Arrow batches of at most rows rows in this session from now on (fewer, if it says so): with whole texts a batch of the usual size takes tens of megabytes, in the JVM and in each worker.
+
+    A setting of the application: the registered queries and the pipeline call it, operators do not.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
@@ -58,7 +68,8 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text and lang of documents, dealt over all cores where the files give fewer partitions than there are cores (a small table in one row group)."""
+    """doc_id, text and lang of documents, dealt over all cores where the files give fewer partitions than there are cores (a small table in one row group); batches of whole texts are kept small."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     cores = spark.sparkContext.defaultParallelism
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, small_batches, text_table, uniform
+from tidemark.llm.common import fold, text_table, uniform
 from tidemark.llm.textnum import U, pieces
 
 UNKNOWN = "und"
@@ -142,7 +142,6 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> Model:
     driver gets at most about per_class x max_classes sparse vectors of 2**bits entries. Without any
     labelled row the model has no class and predicts UNKNOWN.
     """
-    small_batches(labelled.sparkSession)
     known = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.max_classes).collect()}
     classes = sorted(counts)
@@ -183,7 +182,6 @@ def identify(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFra
     code-point order. Scores are calibrated probabilities of the class given.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.classes, model.weights.astype(np.float64), model.bias, model.idf, model.temperature))
     bits, orders = s.bits, s.orders
 

@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_IDS, materialize, only_ids, small_batches, text_table
-from tidemark.llm.components import connected_components
+from tidemark.llm.common import BROADCAST_IDS, materialize, only_ids, text_table
+from tidemark.llm.components import Keep, connected_components
 from tidemark.llm.textnum import U, mix, word_hashes
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -38,7 +38,7 @@ _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 @dataclass(frozen=True)
 class Settings:
-    """percent: links need 100 x intersection >= percent x union. width: words of a shingle. miss: posterior below which a pair is dropped. block: documents of a bucket that one task compares with as many others."""
+    """percent: links need 100 x intersection >= percent x union. width: words of a shingle. miss: posterior below which a pair is dropped. block: documents of a bucket that one task compares with as many others. fan: members that share one copy of their hub's set."""
 
     percent: int = 80
     width: int = 5
@@ -46,6 +46,7 @@ class Settings:
     rows: int = 5
     miss: float = 1e-6
     block: int = 1024
+    fan: int = 256
     seed: int = 3
 
     @property
@@ -138,19 +139,49 @@ def _survivors(left: np.ndarray, right: np.ndarray, table_: list[tuple[int, int]
     return alive
 
 
+def beside_hubs(pairs: DataFrame, load: DataFrame, s: Settings) -> DataFrame:
+    """(a, part, own, b, x) of pairs(a, b) and load(doc_id, x): the members b of each hub a in parts of about s.fan, behind a row per part (own, b = a) that carries the hub's own x.
+
+    A hub's x travels once a part, not once a pair, and no part depends on how many members a hub
+    has. Parts are sorted inside their partition, so a task reads them as a stream.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / s.fan).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b", F.lit(s.seed)), "parts").cast("int").alias("part"), "b")
+    members = dealt.join(load.toDF("b", "x"), "b").select("a", "part", F.lit(False).alias("own"), "b", "x")
+    hubs = dealt.select("a", "part").distinct().join(load.toDF("a", "x"), "a").select("a", "part", F.lit(True).alias("own"), F.col("a").alias("b"), "x")
+    return members.union(hubs).repartition("a", "part").sortWithinPartitions("a", "part", ~F.col("own"), "b")
+
+
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[int], list[bytes], list[bytes]]]:
+    """(a, b, x of a, x of b) of the pairs that beside_hubs deals, batch by batch; a repeated doc_id has several x, and a pair comes once for each."""
+    now, hub = None, []
+    for batch in batches:
+        left, right, x, y = [], [], [], []
+        for a, part, own, b, value in batch.itertuples(index=False, name=None):
+            if (a, part) != now:
+                now, hub = (a, part), []
+            if own:
+                hub.append(value)
+                continue
+            for h in hub:
+                left.append(a)
+                right.append(b)
+                x.append(h)
+                y.append(value)
+        if left:
+            yield left, right, x, y
+
+
 def bayes_verify(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) that survive the sequential comparison of their signatures."""
-    sig = sketches.select("doc_id", "sig")
-    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
     steps = least_matches(s)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                left, right = (np.frombuffer(b"".join(batch[c]), np.uint32).reshape(len(batch), s.hashes) for c in ("sa", "sb"))
-                yield batch[["a", "b"]].iloc[_survivors(left, right, steps)]
+        for a, b, x, y in _met(batches):
+            left, right = (np.frombuffer(b"".join(z), np.uint32).reshape(len(a), s.hashes) for z in (x, y))
+            yield pd.DataFrame({"a": a, "b": b}).iloc[_survivors(left, right, steps)]
 
-    return both.mapInPandas(run, "a long, b long")
+    return beside_hubs(pairs, sketches.select("doc_id", "sig"), s).mapInPandas(run, "a long, b long").distinct()
 
 
 def _size_fits(a, b, s: Settings):
@@ -216,7 +247,7 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def block_links(members: DataFrame, sketches: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def block_links(members: DataFrame, sketches: DataFrame, docs: DataFrame, s: Settings, keep: Keep = materialize) -> DataFrame:
     """Links (a, b) between different components inside buckets: a spanning forest per task of all that there are.
 
     members(bucket, n, doc_id, comp): a bucket's documents are dealt by hash into n / block blocks,
@@ -247,15 +278,15 @@ def block_links(members: DataFrame, sketches: DataFrame, docs: DataFrame, s: Set
 
     schema = "bucket long, lo int, hi int, k int, doc_id long, comp long"
     first = met.join(sketches, "doc_id").groupBy("bucket", "lo", "hi").applyInPandas(involved, schema)
-    first = materialize(first, "mh-involved")
-    sets = shingle_sets(first.select("doc_id"), docs, s, "mh-rest")
+    first = keep(first, "mh-involved")
+    sets = shingle_sets(first.select("doc_id"), docs, s, "mh-rest", keep)
     second = first.join(sketches, "doc_id").join(sets, "doc_id").groupBy("bucket", "lo", "hi").applyInPandas(linked, "a long, b long")
-    return materialize(second.distinct(), "mh-rest-links")
+    return keep(second.distinct(), "mh-rest-links")
 
 
-def shingle_sets(ids: DataFrame, docs: DataFrame, s: Settings, name: str) -> DataFrame:
+def shingle_sets(ids: DataFrame, docs: DataFrame, s: Settings, name: str, keep: Keep = materialize) -> DataFrame:
     """(doc_id, h: the full shingle set as packed 64-bit hashes) of the documents in ids."""
-    ids = materialize(ids.distinct(), f"{name}-ids")
+    ids = keep(ids.distinct(), f"{name}-ids")
     n = ids.count()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,68 +295,68 @@ def shingle_sets(ids: DataFrame, docs: DataFrame, s: Settings, name: str) -> Dat
                 part = batch.iloc[at : at + 500]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "h": [shingles(t, s.width)[0].tobytes() for t in part["text"]]})
 
-    return materialize(only_ids(docs.select("doc_id", "text"), ids, "doc_id", n).mapInPandas(sets, "doc_id long, h binary"), f"{name}-sets")
+    return keep(only_ids(docs.select("doc_id", "text"), ids, "doc_id", n).mapInPandas(sets, "doc_id long, h binary"), f"{name}-sets")
 
 
-def exact_links(pairs: DataFrame, docs: DataFrame, s: Settings, name: str) -> DataFrame:
+def exact_links(pairs: DataFrame, docs: DataFrame, s: Settings, name: str, keep: Keep = materialize) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold. Only documents in a pair are read into sets."""
-    got = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, s, name)
-    both = pairs.join(got.toDF("a", "ha"), "a").join(got.toDF("b", "hb"), "b")
+    got = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, s, name, keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["ha"], batch["hb"], strict=True):
-                left, right = np.frombuffer(x, U), np.frombuffer(y, U)
-                small, large = sorted((left, right), key=len)
-                common = 0
-                if len(small) and 100 * len(small) >= s.percent * len(large):
-                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    common = int((large[at] == small).sum())
-                keep.append(common > 0 and 100 * common >= s.percent * (len(left) + len(right) - common))
-            yield batch.loc[keep, ["a", "b"]]
+        for a, b, x, y in _met(batches):
+            good = [_reach(np.frombuffer(i, U), np.frombuffer(j, U), s) for i, j in zip(x, y, strict=True)]
+            yield pd.DataFrame({"a": a, "b": b})[good]
+
+    return keep(beside_hubs(pairs, got, s).mapInPandas(run, "a long, b long").distinct(), f"{name}-links")
+
 
-    return materialize(both.mapInPandas(run, "a long, b long").distinct(), f"{name}-links")
+def _reach(left: np.ndarray, right: np.ndarray, s: Settings) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    small, large = sorted((left, right), key=len)
+    if not len(small) or 100 * len(small) < s.percent * len(large):
+        return False
+    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return common > 0 and 100 * common >= s.percent * (len(left) + len(right) - common)
 
 
-def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+def near_duplicates(docs: DataFrame, s: Settings = Settings(), keep: Keep = materialize) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text).
 
     component_id is the smallest doc_id reachable over links, kept whether it is the row's own. Null,
     empty and wordless texts have no shingles and link with nothing. Rows that share a doc_id share a
     component: a link of any of them counts. Rows with a null doc_id are left alone, with a null
-    component and kept. Other columns are ignored, so clashing names do no harm.
+    component and kept. Other columns are ignored, so clashing names do no harm. keep writes the steps;
+    the result reads some of them, so a caller deletes them only after use.
     """
-    small_batches(docs.sparkSession)
-    made = materialize(sketch(docs, s), "mh-sketch")
+    made = keep(sketch(docs, s), "mh-sketch")
     # classes of equal word sequences
     heads = made.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
-    heads = materialize(heads.filter("n > 1").select("digest", "head"), "mh-heads")
+    heads = keep(heads.filter("n > 1").select("digest", "head"), "mh-heads")
     copies = made.select("doc_id", "digest").join(heads, "digest").filter("doc_id <> head")
-    copies = materialize(copies.select("doc_id", "digest", "head").distinct(), "mh-copies")
+    copies = keep(copies.select("doc_id", "digest", "head").distinct(), "mh-copies")
     gone = F.broadcast(copies) if copies.count() <= BROADCAST_IDS // 4 else copies
     base = made.filter("n_shingles > 0 and doc_id is not null").join(gone.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
     # candidates: every document of a bucket with the bucket's smallest
-    bands = materialize(base.select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.explode("bands").alias("bucket")), "mh-bands")
+    bands = keep(base.select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.explode("bands").alias("bucket")), "mh-bands")
     low = F.min(F.struct("doc_id", "size"))
     hubs = bands.groupBy("bucket").agg(low.alias("low"), F.count("*").alias("n")).filter("n > 1")
-    hubs = materialize(hubs.select("bucket", F.col("low.doc_id").alias("hub"), F.col("low.size").alias("hub_size"), "n"), "mh-hubs")
+    hubs = keep(hubs.select("bucket", F.col("low.doc_id").alias("hub"), F.col("low.size").alias("hub_size"), "n"), "mh-hubs")
     fits = (F.col("doc_id") != F.col("hub")) & _size_fits(F.col("size"), F.col("hub_size"), s)
     stars = bands.join(hubs, "bucket").filter(fits).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     sketches = made.select("doc_id", "n_shingles", "sig").filter("sig is not null")
-    passed = materialize(bayes_verify(stars, sketches, s), "mh-stars")
-    links = exact_links(passed, docs, s, "mh-star").union(copies.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
-    found = materialize(connected_components(links), "mh-components")
+    passed = keep(bayes_verify(stars, sketches, s), "mh-stars")
+    links = exact_links(passed, docs, s, "mh-star", keep).union(copies.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
+    found = keep(connected_components(links, keep), "mh-components")
     # the rest of the buckets that still hold several components, without their smallest
     wide = hubs.filter("n > 2").select("bucket", "hub", "n")
     members = bands.select("bucket", "doc_id").join(wide, "bucket").filter("doc_id <> hub")
     members = members.join(found.toDF("doc_id", "component"), "doc_id", "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    members = materialize(members, "mh-members")
-    mixed = materialize(members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket"), "mh-mixed")
+    members = keep(members, "mh-members")
+    mixed = keep(members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket"), "mh-mixed")
     if not mixed.isEmpty():
-        extra = block_links(members.join(mixed, "bucket"), sketches, docs, s)
+        extra = block_links(members.join(mixed, "bucket"), sketches, docs, s, keep)
         if not extra.isEmpty():
-            found = materialize(connected_components(links.union(extra)), "mh-components")
+            found = keep(connected_components(links.union(extra), keep), "mh-components")
     out = made.select("doc_id", "n_shingles").join(found.toDF("doc_id", "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, text_table
+from tidemark.llm.common import text_table
 
 FRAME = 192  # samples of a frame; payloads are padded to whole frames
 PACKET = 4800  # samples of a packet
@@ -158,7 +158,6 @@ def packet_times(stream: Stream, rate: int, samples: int) -> list[float]:
 
 def encode_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a binary media column (one of that name is replaced) from the UTF-8 text, null as empty, padded with spaces to whole frames, at least one."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def stored(texts: pd.Series) -> pd.Series:
@@ -174,7 +173,6 @@ def encode_media(docs: DataFrame, text: str = "text", media: str = "media") -> D
 
 def decode_media(docs: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
     """keep, and what an Ogg value holds: payload, notes, sizes, digests and a feature line. A null or unreadable value gives an empty payload and counts as bad."""
-    small_batches(docs.sparkSession)
     names = ["n_bytes", "payload", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = ["n_bytes long", "payload binary", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string"]
 

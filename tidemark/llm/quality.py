@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, small_batches, table, text_table, uniform
+from tidemark.llm.common import fold, table, text_table, uniform
 from tidemark.llm.textnum import U, mix, pieces, word_hashes
 
 THRESHOLD = 0.3
@@ -107,7 +107,6 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> Model:
     The sample is drawn by a hash of doc_id at a rate that expects s.sample rows, so classes keep
     their shares and the driver gets at most about s.sample sparse vectors of 2**bits entries.
     """
-    small_batches(labelled.sparkSession)
     known = labelled.filter("label in (0, 1)").select("doc_id", "text", "label")
     n = known.count()
     sample = known.filter(uniform("doc_id", s.seed) < min(1.0, s.sample / max(1, n)))
@@ -124,7 +123,6 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> Model:
 
 def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     """docs with score (probability of label 1) and predicted (score >= THRESHOLD) added; columns of these names are replaced. Null and empty texts get the score of no features."""
-    small_batches(docs.sparkSession)
     margins, bias = model.margins()
     shared = docs.sparkSession.sparkContext.broadcast((margins, bias))
     bits, orders = s.bits, s.orders

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import small_batches, text_table
+from tidemark.llm.common import text_table
 
 MODEL = os.environ.get("TIDEMARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -301,7 +301,6 @@ def text_runs(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterat
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """docs with piece_ids (array of int; a column of that name is replaced): the whole text's ids, none for a null or empty text. Repeated rows are encoded alike."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     out = docs.drop("piece_ids")
     schema = T.StructType([*out.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
@@ -319,7 +318,6 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", into: str = "decoded") -> DataFrame:
     """docs with the text that ids stand for (a column of that name is replaced); bytes that are no UTF-8 become replacement characters, a null array an empty text."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     out = docs.drop(into)
     schema = T.StructType([*out.schema.fields, T.StructField(into, T.StringType())])
