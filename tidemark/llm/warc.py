@@ -7,6 +7,8 @@ Everything is a projection, so the build streams at scan speed and never shuffle
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +26,57 @@ TO_TEXT = [
     (r" ?\n[ \n]*", "\n"),
     (r"^[ \n]+|[ \n]+$", ""),
 ]
-#: Named and numeric references, `&` last; the fixed values of HTML.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&")]
+#: The rules for tags as Spark runs them: one look at `<` before any alternative.
+TAGS = [
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>|title\b.*?</title\s*>)", ""),
+    (r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|main|blockquote|pre))\b[^>]*+>", "\n"),
+    (r"<[!/?a-zA-Z][^>]*+>", ""),
+]
+#: Named references that SQL decodes one by one, `&` last; the fixed values of HTML.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&")]
 FIELDS = ["record_id", "record_type", "target_uri", "record_date", "refers_to", "content_type", "headers", "payload_digest", "block_digest", "content_length", "block"]
 
 
-def plain_text(html: Column) -> Column:
-    for pattern, into in TO_TEXT:
+def named_references() -> dict[str, str]:
+    """HTML's named references by name, from the standard library's table, the common ones first; a no-break space counts as a space."""
+    common = {name[1:-1]: into for name, into in reversed(ENTITIES) if "#" not in name}
+    return common | {name: chr(code) for name, code in sorted(name2codepoint.items()) if name not in common}
+
+
+def decode_references(text: Column) -> Column:
+    """text with named and numeric character references replaced, each once; what is no known reference stays as it is."""
+    table_ = F.create_map(*[F.lit(x) for pair in named_references().items() for x in pair])
+
+    def one(piece: Column) -> Column:
+        name = F.substring_index(piece, ";", 1)
+        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("int")
+        valid = name.rlike("^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6})$") & (((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF)))
+        # UTF-32 of the code point, eight hexadecimal digits
+        numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        made = F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(table_, name))
+        found = F.when(piece.contains(";"), F.concat(made, F.substring(piece, F.length(name) + 2, F.length(piece))))
+        return F.coalesce(found, F.concat(F.lit("&"), piece))
+
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one)
+    return F.when(text.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(text)
+
+
+def without_tags(html: Column) -> Column:
+    """A page's text with its tags replaced, white space as it was."""
+    for pattern, into in TAGS:
         html = F.regexp_replace(html, pattern, into)
-    for name, into in ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(into))
     return html
 
 
+def folded_lines(text: Column) -> Column:
+    """Runs of white space in a line as one space, lines trimmed, empty ones dropped."""
+    uneven = text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains("\f")
+    even = F.when(uneven, F.regexp_replace(text, r"[ \t\r\f]+", " ")).otherwise(text)
+    return F.array_join(F.filter(F.transform(F.split(even, "\n"), lambda line: F.btrim(line, F.lit(" "))), lambda line: line != ""), "\n")
+
+
 def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
@@ -69,8 +109,9 @@ def build_derivatives(source: DataFrame, keep: tuple[str, ...] = ("page_id",)) -
     cut = F.instr("raw", "\r\n\r\n")
     base = base.withColumns({"head": F.when(cut > 0, F.col("raw").substr(F.lit(1), cut - 1)).otherwise(""), "payload": F.when(cut > 0, F.col("raw").substr(cut + 4, F.length("raw"))).otherwise(F.col("raw"))})
     lines = F.filter(F.split("head", "\r\n"), lambda x: x != "")
-    source_digests = base.withColumns({"headers": lines, "payload_digest": digest(F.col("payload")), "source_digest": digest(F.col("raw"))})
-    text = plain_text(F.col("payload"))
+    source_digests = base.withColumns({"headers": lines, "payload_digest": digest(F.col("payload")), "source_digest": digest(F.col("raw")), "untagged": without_tags(F.col("payload"))})
+    source_digests = source_digests.withColumn("lines", folded_lines(F.col("untagged")))
+    text = decode_references(F.col("lines"))
     title = F.trim(F.regexp_replace(F.regexp_extract("payload", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), r"\s+", " "))
     note = F.concat_ws(
         "\r\n",
@@ -91,8 +132,9 @@ def build_derivatives(source: DataFrame, keep: tuple[str, ...] = ("page_id",)) -
 
 
 def to_warc(records: DataFrame) -> DataFrame:
-    """records with warc: the record as it stands in a WARC/1.1 file, header lines first."""
-    line = lambda name, value: F.concat(F.lit(name + ": "), value.cast("string"), F.lit("\r\n"))
+    """records with warc: the record as it stands in a WARC/1.1 file, header lines first. Line ends inside a header value are written %0D and %0A, so no value can start a line of its own."""
+    safe = lambda value: F.replace(F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    line = lambda name, value: F.concat(F.lit(name + ": "), safe(value), F.lit("\r\n"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("record_type")),
@@ -102,7 +144,7 @@ def to_warc(records: DataFrame) -> DataFrame:
         line("WARC-Date", F.col("record_date")),
         line("WARC-Source-Payload-Digest", F.col("payload_digest")),
         line("WARC-Block-Digest", F.col("block_digest")),
-        F.array_join(F.transform("headers", lambda h: F.concat(F.lit("WARC-Source-Header: "), h, F.lit("\r\n"))), ""),
+        F.array_join(F.transform("headers", lambda h: line("WARC-Source-Header", h)), ""),
         line("Content-Type", F.col("content_type")),
         line("Content-Length", F.col("content_length")),
     )
