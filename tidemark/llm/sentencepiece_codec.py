@@ -1,23 +1,26 @@
-"""SentencePiece encoding and decoding over a shared-prefix forward pass.
+"""SentencePiece encoding and decoding over a shared-prefix Viterbi pass.
 
 Texts are cut into marked words (a run of the space mark and the characters up to the next mark);
 no piece holds a mark behind another character, so words encode independently. The distinct words
 of an Arrow batch are sorted, which lays them out as a trie walked depth-first: a word keeps the
-forward states of the prefix that it shares with the word before it and adds only its own tail.
+forward scores and states of the prefix that it shares with the word before it and adds only its own
+tail. The best path is read back from the end.
 
-Two forward recurrences use that walk. For unigram models a state is the best score of a prefix and
-the length of its last piece (Viterbi). For BPE models scores are merge ranks and adding them up
-gives other pieces than merging does, so the state is the last piece of the prefix's own
-segmentation: the one piece ending there that merging leaves next to the last piece of the prefix
-before it. Both are read back from the end.
+The recurrence is best[at] = max over pieces ending at `at` of best[before] + score. For unigram
+models every piece may follow any other. For BPE models scores are merge ranks, and merging leaves
+only certain pieces side by side, so a piece may extend a prefix only if merging its text behind
+that prefix's last piece gives exactly these two. One piece at most passes that test, so the
+first that does is the maximum, and the path is what merging gives.
+
+Words that a worker has met before are looked up instead; that memory is bounded.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -100,9 +103,10 @@ class Automaton:
 
 
 class Encoder:
-    """Encodes words; the forward states of a prefix shared with the word before are kept, so sorted words cost only their own tails. Pair checks are kept up to a bound."""
+    """Encodes words; the forward scores of a prefix shared with the word before are kept, so sorted words cost only their own tails. Pair checks and words met are kept up to a bound."""
 
     PAIRS = 400_000
+    WORDS = 600_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = v = vocabulary
@@ -113,13 +117,30 @@ class Encoder:
         self.score = [v.scores[p] for p in self.pieces]
         self.floor = min(self.score, default=0.0) - 10.0
         self.automaton = Automaton(self.pieces)
+        # by automaton state: (number, size, score) of the pieces that end there, longest first
+        self.ending = [tuple((p, self.size[p], self.score[p]) for p in at) for at in self.automaton.ends]
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.word = ""
-        self.state = [0]  # of the automaton, after each prefix
-        self.last = [-1]  # number of the last piece of each prefix; -1: a single character that is no piece, or nothing
-        self.best = [0.0]  # score of each prefix, for unigram models
         self.computed = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """No word is known: words has those met, and by their numbers reach has where a word's ids end in pool, path the score of its path."""
+        self.words = pa.array([], pa.binary())
+        self.pool, self.reach, self.path = array("i"), array("q", [0]), array("d")
+
+    def numbers(self, distinct: pa.Array) -> np.ndarray:
+        """The numbers of distinct words (spaces for marks); new ones are sorted, in byte order, which is code-point order, and encoded."""
+        if len(self.words) > self.WORDS:
+            self.forget()
+        new = distinct.filter(pc.is_null(pc.index_in(distinct, value_set=self.words))).to_pylist()
+        new.sort()
+        for ids, score in self.encode([w.decode("utf-8", "replace").replace(" ", MARK) for w in new]):
+            self.pool.extend(ids)
+            self.reach.append(len(self.pool))
+            self.path.append(score)
+        self.words = pa.concat_arrays([self.words, pa.array(new, pa.binary())])
+        return pc.index_in(distinct, value_set=self.words).to_numpy(zero_copy_only=False)
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging, highest score first, leftmost first among equals."""
@@ -145,87 +166,96 @@ class Encoder:
         a, b = self.pieces[left], self.pieces[right]
         return self.merged(a + b) == [a, b]
 
-    def extend(self, word: str, shared: int) -> None:
-        """Forward states of the prefixes of word longer than shared, from those of shorter ones."""
-        state, last, size, pairs = self.state, self.last, self.size, self.pairs
-        steps, ends, number = self.automaton.step, self.automaton.ends, self.number
-        at_state = state[shared]
-        unigram, wide = self.v.kind == "unigram", len(size)
-        if len(pairs) > self.PAIRS:
-            pairs.clear()
-        for at in range(shared + 1, len(word) + 1):
-            c = word[at - 1]
-            to = steps[at_state].get(c)
-            at_state = self.automaton.next(at_state, c) if to is None else to
-            state.append(at_state)
-            if unigram:
-                chosen = number.get(c, -1)
-                best = self.best[at - 1] + (self.score[chosen] if chosen >= 0 else self.floor)
-                for p in ends[at_state]:
-                    s = self.best[at - size[p]] + self.score[p]
-                    if s > best:
-                        best, chosen = s, p
-                self.best.append(best)
-            else:
-                for p in ends[at_state]:
-                    left = last[at - size[p]]
-                    good = pairs.get(left * wide + p)
-                    if good is None:
-                        good = pairs[left * wide + p] = self.stands(left, p)
+    def encode(self, words: list[str]) -> Iterator[tuple[list[int], float]]:
+        """(ids, score of their path) of each of the marked words, which should be sorted: the trie is walked depth-first, and a word adds only what it does not share with the one before."""
+        pairs, steps, ending, number, score, floor = self.pairs, self.automaton.step, self.ending, self.number, self.score, self.floor
+        unigram, wide, size, ident = self.v.kind == "unigram", len(self.size), self.size, self.ident
+        state, last, best = [0], [-1], [0.0]  # after each prefix: the automaton, the number of the last piece (-1: none), the best score
+        for word, shared in zip(words, shared_prefixes(words), strict=True):
+            del state[shared + 1 :], last[shared + 1 :], best[shared + 1 :]
+            if len(pairs) > self.PAIRS:
+                pairs.clear()
+            at_state, at = state[shared], shared
+            for c in word[shared:] if shared else word:
+                at += 1
+                try:
+                    at_state = steps[at_state][c]
+                except KeyError:
+                    at_state = self.automaton.next(at_state, c)
+                chosen, top = -1, 0.0
+                for p, n, gain in ending[at_state]:
+                    if unigram:
+                        s = best[at - n] + gain
+                        if chosen < 0 or s > top:
+                            top, chosen = s, p
+                        continue
+                    pair = last[at - n] * wide + p
+                    try:
+                        good = pairs[pair]
+                    except KeyError:
+                        good = pairs[pair] = self.stands(last[at - n], p)
                     if good:
-                        chosen = p
+                        top, chosen = best[at - n] + gain, p
                         break
+                if unigram or chosen < 0:  # the character by itself
+                    alone = number.get(c, -1)
+                    s = best[at - 1] + (score[alone] if alone >= 0 else floor)
+                    if chosen < 0 or s >= top:
+                        top, chosen = s, alone
+                state.append(at_state)
+                best.append(top)
+                last.append(chosen)
+            self.computed += at - shared
+            out = []
+            while at:
+                p = last[at]
+                if p >= 0:
+                    out.append(ident[p])
+                    at -= size[p]
+                    continue
+                if self.v.byte_ids:
+                    out += [self.v.byte_ids[b] for b in reversed(word[at - 1].encode("utf-8", "surrogatepass"))]
                 else:
-                    chosen = number.get(c, -1)
-            last.append(chosen)
-        self.computed += len(word) - shared
-
-    def encode(self, word: str) -> list[int]:
-        """Ids of a marked word; fastest when words come sorted."""
-        shared = 0
-        for a, b in zip(word, self.word, strict=False):
-            if a != b:
-                break
-            shared += 1
-        last = self.last
-        if len(last) > shared + 1:
-            del last[shared + 1 :], self.state[shared + 1 :], self.best[shared + 1 :]
-        self.extend(word, shared)
-        self.word = word
-        out, at, ident, size = [], len(word), self.ident, self.size
-        while at:
-            p = last[at]
-            if p >= 0:
-                out.append(ident[p])
-                at -= size[p]
-                continue
-            if self.v.byte_ids:
-                out += [self.v.byte_ids[b] for b in reversed(word[at - 1].encode("utf-8", "surrogatepass"))]
-            else:
-                out.append(self.v.unknown)
-            at -= 1
-        out.reverse()
-        return out
-
-
-def marked_words(text: str, dummy_prefix: bool = True) -> list[str]:
-    """The text's words: space marks, then characters up to the next mark; joined they give the marked text. None for an empty text."""
-    if not text:
+                    out.append(self.v.unknown)
+                at -= 1
+            out.reverse()
+            yield out, best[-1]
+
+
+def shared_prefixes(words: list[str]) -> list[int]:
+    """How many characters each word shares with the one before it."""
+    if not words:
         return []
-    marked = (" " if dummy_prefix else "") + text.replace(MARK, " ")
-    words = marked.replace(" ", " " + MARK).split(" ")
-    if not words[0]:
-        del words[0]
-    if MARK not in words:
-        return words
-    out, run = [], ""
-    for w in words:  # a word that is a lone mark belongs to the next one
-        if w == MARK:
-            run += w
-        else:
-            out.append(run + w)
-            run = ""
-    return out + [run] if run else out
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    start = np.cumsum(length) - length
+    both = np.minimum(length[1:], length[:-1])
+    out, open_, at = np.zeros(len(words), np.int64), np.flatnonzero(both > 0), 0
+    while len(open_):
+        open_ = open_[text[start[open_ + 1] + at] == text[start[open_] + at]]
+        at += 1
+        out[open_ + 1] = at
+        open_ = open_[both[open_] > at]
+    return out.tolist()
+
+
+def marked_words(texts: pa.Array, dummy_prefix: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """(all words of the texts in a row, words before each text and in all): space marks (as spaces), then characters up to the next mark; joined they give the marked text. None for a null or empty text."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    if pc.any(pc.match_substring(texts, MARK)).as_py():
+        texts = pc.replace_substring(texts, MARK, " ")
+    if dummy_prefix:
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    raw = texts.buffers()[2] if len(texts) else None
+    size = int(ends[-1])
+    space = np.frombuffer(raw, np.uint8, size) == 32 if size else np.zeros(0, bool)
+    starts = space.copy()
+    starts[1:] &= ~space[:-1]
+    starts[ends[:-1][np.diff(ends) > 0]] = True
+    at = np.flatnonzero(starts).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, np.int32(size)).astype(np.int32)), raw or pa.py_buffer(b"")])
+    return words, np.searchsorted(at, ends)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -239,39 +269,41 @@ def worker_encoder(vocabulary: Vocabulary) -> Encoder:
     return _ENCODERS[vocabulary.name]
 
 
-def encode_batch(texts: list[str], encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts in a row, ids of each text)."""
-    per_text = [marked_words(t, encoder.v.dummy_prefix) for t in texts]
-    flat = pa.array([w for ws in per_text for w in ws], pa.string()).dictionary_encode()
-    words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-    encoded: list[list[int]] = [[]] * len(words)
-    for i in sorted(range(len(words)), key=words.__getitem__):
-        encoded[i] = encoder.encode(words[i])
-    length = np.fromiter(map(len, encoded), np.int64, len(encoded))
-    pool = np.array(list(chain.from_iterable(encoded)), np.int32)
-    start = np.concatenate(([0], np.cumsum(length)))[:-1]
-    each = length[codes] if len(codes) else np.empty(0, np.int64)
-    total = int(each.sum())
-    first = np.concatenate(([0], np.cumsum(each)))[:-1]
-    where = np.arange(total) - np.repeat(first, each) + np.repeat(start[codes] if len(codes) else each, each)
-    ends = np.concatenate(([0], np.cumsum(each)))
-    bounds = np.concatenate(([0], np.cumsum([len(ws) for ws in per_text]))).astype(np.int64)
-    return pool[where], np.diff(ends[bounds])
-
-
-def decode_ids(ids: np.ndarray, table_: np.ndarray, dummy_prefix: bool = True) -> bytes:
-    """The UTF-8 bytes that ids stand for, without the space put in front."""
-    raw = b"".join(table_[ids])
-    return raw[1:] if dummy_prefix and raw[:1] == b" " else raw
-
-
-def _byte_table(v: Vocabulary) -> np.ndarray:
+def encode_batch(column: pa.Array, encoder: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, where each text's ids begin and the last end, score of each text's path)."""
+    words, bounds = marked_words(column, encoder.v.dummy_prefix)
+    coded = words.dictionary_encode()
+    number = encoder.numbers(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+    pool, reach, path = np.array(encoder.pool, np.int32), np.array(encoder.reach, np.int64), np.array(encoder.path, np.float64)
+    start, each = reach[number], (reach[1:] - reach[:-1])[number]
+    first = np.concatenate(([0], np.cumsum(each)))
+    ids = pool[np.arange(first[-1]) + np.repeat(start - first[:-1], each)]
+    sums = np.concatenate(([0.0], np.cumsum(path[number])))
+    return ids, first[bounds], np.diff(sums[bounds])
+
+
+def decode_batch(ids: np.ndarray, bounds: np.ndarray, pieces: pa.Array, dummy_prefix: bool = True) -> pa.Array:
+    """The texts that ids stand for, without the space put in front: the pieces' bytes, one behind the other, are the texts'. Bytes that are no UTF-8 become replacement characters."""
+    taken = pieces.take(pa.array(ids, pa.int32()))
+    ends = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1) if len(taken) else np.zeros(1, np.int32)
+    raw = (taken.buffers()[2] if len(taken) else None) or pa.py_buffer(b"")
+    texts = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends[bounds])), raw])
+    if dummy_prefix:
+        texts = pc.if_else(pc.starts_with(texts, b" "), pc.binary_replace_slice(texts, 0, 1, b""), texts)
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+
+def byte_table(v: Vocabulary) -> pa.Array:
+    """The bytes of every id; none for control ids."""
     known = v.bytes_of()
-    out = np.full(max([v.unknown, *known]) + 1, b"", object)
+    out = [b""] * (max([v.unknown, *known]) + 1)
     out[v.unknown] = " ⁇ ".encode()
     for i, b in known.items():
         out[i] = b
-    return out
+    return pa.array(out, pa.binary())
 
 
 #: Bytes of the texts that share a trie.
@@ -299,19 +331,29 @@ def text_runs(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterat
         yield joined()
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """docs with piece_ids (array of int; a column of that name is replaced): the whole text's ids, none for a null or empty text. Repeated rows are encoded alike."""
+def _list(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decoded: str | None = None) -> DataFrame:
+    """docs with piece_ids (array of int), the whole text's ids, and path_score, the sum of their scores; columns of these names are replaced. None and 0 for a null or empty text; repeated rows are encoded alike.
+
+    decoded: a column for the text that the ids stand for, decoded from them in the same pass.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    out = docs.drop("piece_ids")
-    schema = T.StructType([*out.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
+    out = docs.drop("piece_ids", "path_score", *([decoded] if decoded else []))
+    more = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("path_score", T.DoubleType())]
+    more += [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([*out.schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shared.value)
+        encoder, pieces = worker_encoder(shared.value), byte_table(shared.value) if decoded else None
         for part in text_runs(batches, text, BATCH_BYTES):
-            column = part.column(part.schema.get_field_index(text))
-            ids, counts = encode_batch([t or "" for t in column.to_pylist()], encoder)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "piece_ids"])
+            ids, bounds, score = encode_batch(part.column(part.schema.get_field_index(text)), encoder)
+            made = [_list(ids, bounds), pa.array(score, pa.float64())]
+            if decoded:
+                made.append(decode_batch(ids, bounds, pieces, shared.value.dummy_prefix))
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(f.name for f in more)])
 
     return out.mapInArrow(run, schema)
 
@@ -323,20 +365,20 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", into
     schema = T.StructType([*out.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, dummy = _byte_table(shared.value), shared.value.dummy_prefix
+        pieces, dummy = byte_table(shared.value), shared.value.dummy_prefix
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            texts = [decode_ids(values[a:b], pieces, dummy).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
+            length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            values = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+            texts = decode_batch(values, np.concatenate(([0], np.cumsum(length))), pieces, dummy)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, into])
 
     return out.mapInArrow(run, schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, piece_ids, decoded_sha256 (of the text decoded from the ids) and exact: whether that is the text itself."""
-    v = Vocabulary.load()
+    """doc_id, n_pieces, path_score, piece_ids, decoded_sha256 (of the text decoded from the ids) and exact: whether that is the text itself."""
     docs = text_table(spark, sf_dir).select("doc_id", "text")
-    back = decode(encode(docs, v), v)
+    back = encode(docs, Vocabulary.load(), decoded="decoded")
     exact = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
-    return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), exact.alias("exact"))
+    return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "path_score", "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), exact.alias("exact"))
