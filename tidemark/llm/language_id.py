@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +25,12 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """bits: hashed n-gram space. per_class: expected training rows of a language (the sample bound). max_classes: the most frequent languages learned. l1, l2, alpha, beta: FTRL-proximal. calibration: share of the sample kept for the temperature."""
+    """bits: hashed n-gram space. per_class: expected training rows of a language, fewer where all languages together would pass sample (the sample bound). l1, l2, alpha, beta: FTRL-proximal. calibration: share of the sample kept for the temperature."""
 
     bits: int = 15
     orders: tuple[int, ...] = (1, 2, 3)
     per_class: int = 1200
-    max_classes: int = 256
+    sample: int = 300_000
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -48,18 +49,32 @@ class Model:
     temperature: float
 
 
+def folded(text: str) -> Iterator[str]:
+    """The text lower-cased, between spaces, white space runs as one space, piece by piece; the pieces joined are the same wherever the text is cut."""
+    space = True
+    for piece in pieces(text):
+        words = piece.lower().split()
+        if words:
+            yield (" " if space or piece[0].isspace() else "") + " ".join(words)
+        space = piece[-1].isspace() if words else True
+    yield " "
+
+
 def _gram_counts(text: str, bits: int, orders: tuple[int, ...]) -> np.ndarray:
-    """Counts of hashed character n-grams of the whole text, lower-cased, white space runs folded."""
+    """Counts of hashed character n-grams of the whole text."""
     counts = np.zeros(1 << bits, np.int64)
-    for piece in pieces(text):
-        c = np.frombuffer((" " + " ".join(piece.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    most, before = max(orders), np.empty(0, U)
+    for piece in folded(text):
+        c = np.concatenate((before, np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)))
         h = np.zeros(len(c), U)
-        for n in range(1, max(orders) + 1):
+        for n in range(1, most + 1):
             if n > len(c):
                 break
             h = h[: len(c) - n + 1] * U(0x100000001B3) + c[n - 1 :] + U(n)
-            if n in orders:
-                counts += np.bincount(((h * U(0x9E3779B97F4A7C15)) >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+            if n in orders:  # those that end in this piece
+                new = h[max(0, len(before) - n + 1) :]
+                counts += np.bincount(((new * U(0x9E3779B97F4A7C15)) >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+        before = c[len(c) - min(len(c), most - 1) :]
     return counts
 
 
@@ -75,9 +90,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+#: Tasks whose counts meet in one group of the first of two levels of sums.
+MEET = 256
+
+
 def document_frequencies(texts: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
-    """(documents with each hashed n-gram, documents), over every text; null texts count as empty. Each task sums its own rows to 2**bits numbers, in blocks; the blocks are summed by key."""
+    """(documents with each hashed n-gram, documents), over every text; null texts count as empty.
+
+    Each task sums its own rows to 2**bits numbers, in blocks. Blocks are summed in two levels, by
+    groups of about MEET tasks and then over the groups, so no group holds the counts of all tasks.
+    """
     bits, orders, block = s.bits, s.orders, 1 << max(0, s.bits - 4)
+    groups = max(1, -(-texts.rdd.getNumPartitions() // MEET))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(1 << bits, np.int64), 0
@@ -85,13 +109,16 @@ def document_frequencies(texts: DataFrame, s: Settings) -> tuple[np.ndarray, int
             for text in batch["text"]:
                 df += _gram_counts(text or "", bits, orders) > 0
                 n += 1
-        yield pd.DataFrame({"block": range((1 << bits) // block), "n": n, "df": list(df.reshape(-1, block))})
+        if n:
+            yield pd.DataFrame({"block": range((1 << bits) // block), "part": TaskContext.get().partitionId() % groups, "n": n, "df": list(df.reshape(-1, block))})
 
-    def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "n": [group["n"].sum()], "df": [np.sum(np.stack(group["df"].to_numpy()), axis=0)]})
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        first = group[["block", "part"]].iloc[:1].reset_index(drop=True)
+        return first.assign(n=group["n"].sum(), df=[np.sum(np.stack(group["df"].to_numpy()), axis=0)])
 
-    schema = "block int, n long, df array<long>"
-    rows = texts.select("text").mapInPandas(partial, schema).groupBy("block").applyInPandas(total, schema).orderBy("block").collect()
+    schema = "block int, part int, n long, df array<long>"
+    sums = texts.select("text").mapInPandas(partial, schema).groupBy("block", "part").applyInPandas(total, schema)
+    rows = sums.groupBy("block").applyInPandas(total, schema).orderBy("block").collect()
     return np.concatenate([r["df"] for r in rows]) if rows else np.zeros(1 << bits, np.int64), rows[0]["n"] if rows else 0
 
 
@@ -138,19 +165,20 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(labelled: DataFrame, s: Settings = Settings()) -> Model:
     """A model from labelled(doc_id, text, lang); rows with null lang or text are left out.
 
-    The sample is drawn by hash at a rate per language that expects s.per_class rows of it, so the
-    driver gets at most about per_class x max_classes sparse vectors of 2**bits entries. Without any
-    labelled row the model has no class and predicts UNKNOWN.
+    Every language found is learned. The sample is drawn by hash at a rate per language that expects
+    s.per_class rows of it, so the driver gets about s.sample sparse vectors at most; the weights are
+    2**bits numbers a language. Without any labelled row the model has no class and predicts UNKNOWN.
     """
     known = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.max_classes).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     classes = sorted(counts)
     df, n_docs = document_frequencies(known, s)
     idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
     if not classes:
         return Model([], np.zeros((1 << s.bits, 0)), np.zeros(0), idf, 1.0)
-    rate = F.create_map(*[F.lit(x) for c in classes for x in (c, min(1.0, s.per_class / counts[c]))])
-    sample = known.filter(F.col("lang").isin(classes)).filter(uniform("doc_id", s.seed) < rate[F.col("lang")])
+    each = min(s.per_class, s.sample / len(classes))
+    rates = labelled.sparkSession.createDataFrame([(c, min(1.0, each / counts[c])) for c in classes], "lang string, rate double")
+    sample = known.join(F.broadcast(rates), "lang").filter(uniform("doc_id", s.seed) < F.col("rate")).select("doc_id", "text", "lang")
     bits, orders = s.bits, s.orders
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,8 +227,9 @@ def identify(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFra
         m = shared.value
         return pd.DataFrame([predict(t, m) for t in texts], columns=["lang_pred", "score"])
 
-    got = docs.withColumn("__id", scored(F.col("text")))
-    return got.withColumns({"lang_pred": F.col("__id.lang_pred"), "score": F.col("__id.score")}).drop("__id")
+    got = max([*docs.columns, "id"], key=len) + "_"  # a name that docs does not have
+    marked = docs.withColumn(got, scored(F.col("text")))
+    return marked.withColumns({"lang_pred": marked[got]["lang_pred"], "score": marked[got]["score"]}).drop(got)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

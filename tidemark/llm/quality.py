@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and the character n-grams inside them are hashed to rows of a learned embedding table, a
-document is the average of its rows, and a softmax layer reads the average; both are trained
-together by stochastic gradient descent in numpy on a bounded labelled sample. The average is linear, so scoring
-needs one number per hashed row (its embedding times the output layer) and one pass over the text.
+Words, the character n-grams inside them, and the patterns in which words repeat are hashed to rows
+of a learned embedding table, a document is the average of its rows, and a softmax layer reads the
+average; both are trained together by stochastic gradient descent in numpy on a bounded labelled
+sample. The average is linear, so scoring needs one number per hashed row (its embedding times the
+output layer) and one pass over the text.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from tidemark.llm.common import fold, table, text_table, uniform
 from tidemark.llm.textnum import U, mix, pieces, word_hashes
 
 THRESHOLD = 0.3
-#: Every document holds so many copies of row 0, which pulls short documents towards the mean.
-ANCHORS = 24
-
+#: A word's repetition: how many words back, up to this many, the same word last stood (0: it did not).
+BACK = 4
 
 @dataclass(frozen=True)
 class Settings:
@@ -48,9 +48,25 @@ class Model:
         return self.embedding @ (self.output[:, 1] - self.output[:, 0]), float(self.bias[1] - self.bias[0])
 
 
+def repetitions(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each word's repetition, the repetitions of a word and the two before it as one number)."""
+    back = np.zeros(len(words), np.int64)
+    for k in range(BACK, 0, -1):
+        back[k:][words[k:] == words[:-k]] = k
+    pattern = back.copy()
+    for k in (1, 2):
+        pattern = pattern * (BACK + 1)
+        pattern[k:] += back[: max(0, len(back) - k)]
+    return back, pattern
+
+
 def feature_rows(text: str, bits: int, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
-    """The hashed rows of all words and in-word character n-grams (word edges marked by a space) of the whole text, piece by piece. Case and punctuation count; a word that repeats the one before it also counts as eight of row 1, and row 0 stands in every document."""
-    yield np.zeros(ANCHORS, np.int64)
+    """The hashed rows of all words, their repetitions, and in-word character n-grams (word edges marked by a space) of the whole text, piece by piece. Case and punctuation count.
+
+    Pieces end between words and repetitions look back over them, so where a text is cut changes
+    nothing; only a word of more characters than a piece has counts as several.
+    """
+    before = np.empty(0, U)
     for piece in pieces(text):
         c = np.frombuffer((" " + " ".join(piece.split()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
         space = c == 32
@@ -58,7 +74,10 @@ def feature_rows(text: str, bits: int, orders: tuple[int, ...]) -> Iterator[np.n
             continue
         words = word_hashes(c, space)
         yield (words >> U(64 - bits)).astype(np.int64)
-        yield np.repeat(1, 8 * int((words[1:] == words[:-1]).sum()))
+        seen = np.concatenate((before, words))
+        for kind, value in enumerate(repetitions(seen)):
+            yield (mix(value[len(before) :].astype(U) * U(2) + U(kind)) >> U(64 - bits)).astype(np.int64)
+        before = seen[-(BACK + 2) :]
         v, spaces = c.astype(U), np.concatenate(([0], np.cumsum(space)))
         for n in orders:
             if len(c) < n:
