@@ -1,8 +1,9 @@
 """Chat formatting with layouts chosen by schema fingerprint, DataFrame functions only.
 
-A record's layout is the set of its nested field paths; its fingerprint is a hash of them. A table of
-declarative mappings says, per fingerprint, where turns, roles and texts lie. Records then become
-canonical turns and one formatted string each, from which turns and the loss mask can be read back.
+A record's layout is the set of its nested field paths; its fingerprint is a hash of them, taken row
+by row from the record itself. A table of declarative mappings says, per fingerprint, where turns,
+roles and texts lie. Records then become canonical turns and one formatted string each, from which
+turns and the loss mask can be read back.
 
 Template, per turn: `### role: text</turn>` and a newline. Inside roles and texts a backslash is
 written as \\b, `#` as \\h and `<` as \\l (and in roles `:` as \\c), so no marker occurs inside them.
@@ -48,24 +49,48 @@ LAYOUTS = (
 )
 
 
-def field_paths(kind: T.DataType, at: str = "") -> list[str]:
-    """The leaf paths of a type, array items as []."""
-    if isinstance(kind, T.StructType):
-        return sorted(p for f in kind for p in field_paths(f.dataType, f"{at}.{f.name}" if at else f.name))
-    if isinstance(kind, T.ArrayType):
-        return field_paths(kind.elementType, at + "[]")
-    return [at]
+#: Parts of a variant's schema: a field name, the start of an object or array, an end, a plain type.
+SCHEMA_PART = r"(`(?:[^`]|``)*`: |\w+: |OBJECT<|ARRAY<|>|[A-Z_]+(?:\([0-9,]+\))?)"
 
 
 def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def layout_fingerprints(layout: Layout) -> list[str]:
+    """A layout's fingerprint and, for messages in an array, that of a record whose array is empty."""
+    return [fingerprint(layout.paths)] + ([fingerprint((f"{layout.turns}[]",))] if layout.turns else [])
+
+
+def schema_paths(schema: Column) -> Column:
+    """The sorted leaf paths of a variant's schema at any depth, array items as []."""
+    start = F.struct(F.array(F.lit("")).alias("open"), F.lit("").alias("name"), F.array().cast("array<string>").alias("paths"))
+
+    def step(acc: Column, part: Column) -> Column:
+        inside, name = F.element_at(acc["open"], -1), acc["name"]
+        quoted = F.replace(F.substring(part, F.lit(2), F.length(part) - 4), F.lit("``"), F.lit("`"))
+        label = F.when(part.startswith("`"), quoted).otherwise(F.substring(part, F.lit(1), F.length(part) - 2))
+        field, items = part.endswith(": "), part == "ARRAY<"
+        now = F.when(field, F.when(inside == "", label).otherwise(F.concat(inside, F.lit("."), label))).when(items, F.concat(name, F.lit("[]"))).otherwise(name)
+        opened = F.when(items | (part == "OBJECT<"), F.array_append(acc["open"], now)).when(part == ">", F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1)).otherwise(acc["open"])
+        leaf = ~(field | items | (part == "OBJECT<") | (part == ">"))
+        return F.struct(opened.alias("open"), now.alias("name"), F.when(leaf, F.array_append(acc["paths"], now)).otherwise(acc["paths"]).alias("paths"))
+
+    return F.array_sort(F.aggregate(F.regexp_extract_all(schema, F.lit(SCHEMA_PART), 1), start, step)["paths"])
+
+
+def record_fingerprint(record: Column) -> Column:
+    """The fingerprint of a variant; null for what is no object."""
+    schema = F.schema_of_variant(record)
+    return F.when(schema.startswith("OBJECT<"), F.sha2(F.array_join(schema_paths(schema), "\n"), 256))
+
+
 def _messages(record: Column, layout: Layout) -> Column:
     if layout.turns:
-        made = F.transform(record[layout.turns], lambda m: F.struct(_renamed(m[layout.role], layout).alias("role"), m[layout.text].alias("text")))
+        items = F.try_variant_get(record, f"$.{layout.turns}", f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
+        made = F.transform(items, lambda m: F.struct(_renamed(m[layout.role], layout).alias("role"), m[layout.text].alias("text")))
         return F.coalesce(made.cast(TURN), F.array().cast(TURN))
-    slots = F.array(*[F.struct(F.lit(role).alias("role"), record[path].cast("string").alias("text")) for role, path in layout.slots])
+    slots = F.array(*[F.struct(F.lit(role).alias("role"), F.try_variant_get(record, f"$.{path}", "string").alias("text")) for role, path in layout.slots])
     return F.filter(slots, lambda s: s["text"].isNotNull()).cast(TURN)
 
 
@@ -75,46 +100,23 @@ def _renamed(role: Column, layout: Layout) -> Column:
     return role
 
 
-def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, keep: tuple[str, ...] = ("conv_id",)) -> DataFrame:
-    """keep and turns(array of struct(role, text)) of a table of records, by the fingerprint of its columns other than keep. A layout without a mapping is an error that names its paths."""
-    body = [f for f in records.schema if f.name not in keep]
-    paths = field_paths(T.StructType(body))
-    known = {fingerprint(x.paths): x for x in layouts}
-    if fingerprint(paths) not in known:
-        raise ValueError(f"no mapping for the layout {paths}")
-    record = F.struct(*[F.col(f"`{f.name}`") for f in body])
-    return records.select(*keep, _messages(record, known[fingerprint(paths)]).alias("turns"))
+def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """records with fingerprint and turns (array of struct(role, text)) of a column of records of mixed layouts: variants, JSON strings or structs.
 
-
-def _json_schema(layout: Layout) -> str:
-    if layout.turns:
-        return f"struct<{layout.turns}:array<struct<`{layout.role}`:string,`{layout.text}`:string>>>"
-    return "struct<" + ",".join(f"`{p}`:string" for _, p in layout.slots) + ">"
-
-
-def json_paths(json: Column) -> Column:
-    """The sorted leaf paths of one JSON record, from the schema of its variant value; null for what is no JSON object."""
-    kind = F.schema_of_variant(F.try_parse_json(json))
-    flat = F.regexp_replace(F.regexp_replace(kind, "ARRAY<OBJECT<([^<>]*)>>", "[$1]"), "ARRAY<[^<>]*>", "[]")
-    inner = F.regexp_extract(flat, "^OBJECT<(.*)>$", 1)
-    fields = F.regexp_extract_all(inner, F.lit(r"([^,:\[\]]+: (?:\[[^\]]*\]|[A-Z_0-9(),]+))"), 1)
-
-    def leaves(x: Column) -> Column:
-        name, rest = F.trim(F.substring_index(x, ":", 1)), F.regexp_extract(x, r"\[(.*)\]", 1)
-        nested = F.transform(F.regexp_extract_all(rest, F.lit(r"([^,: ]+): "), 1), lambda y: F.concat(name, F.lit("[]."), y))
-        return F.when(x.contains("["), nested).otherwise(F.array(name))
-
-    return F.when(kind.startswith("OBJECT<"), F.array_sort(F.flatten(F.transform(fields, leaves))))
-
-
-def canonical_json_turns(records: DataFrame, json: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """records with fingerprint and turns of a column of JSON records of mixed layouts; turns is null where no mapping has the record's fingerprint, or it is no JSON object."""
-    marked = records.withColumn("fingerprint", F.sha2(F.array_join(json_paths(F.col(json)), "\n"), 256))
+    Each row's own fingerprint picks its mapping. turns is null where no mapping has the fingerprint,
+    and both are null for null records and what is no JSON object. Columns of these two names are
+    replaced, others kept. A record must fit in a variant (128 MB).
+    """
+    kind = records.schema[record].dataType
+    value = F.col(f"`{record}`")
+    value = F.try_parse_json(value) if isinstance(kind, T.StringType) else F.to_variant_object(value) if isinstance(kind, T.StructType) else value
+    at = max([*records.columns, "v"], key=len) + "_"  # a name that records does not have
+    marked = records.withColumn(at, value)
+    marked = marked.withColumn("fingerprint", record_fingerprint(marked[at]))
     turns = F.lit(None).cast(TURN)
     for layout in layouts:
-        parsed = F.from_json(F.col(json), _json_schema(layout))
-        turns = F.when(F.col("fingerprint") == fingerprint(layout.paths), _messages(parsed, layout)).otherwise(turns)
-    return marked.withColumn("turns", turns)
+        turns = F.when(F.col("fingerprint").isin(layout_fingerprints(layout)), _messages(marked[at], layout)).otherwise(turns)
+    return marked.withColumn("turns", turns).drop(at)
 
 
 def escape(text: Column, role: bool = False) -> Column:
@@ -178,16 +180,27 @@ def gather_rows(rows: DataFrame) -> DataFrame:
     return grouped.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
-def format_chat(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """(conv_id, formatted, mask) of records of any mapped layout."""
-    made = canonical_turns(records, layouts).select("conv_id", format_turns(F.col("turns")).alias("formatted"))
+def format_chat(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """records with fingerprint, turns, formatted and mask (columns of these names are replaced); formatted and mask are null where turns is."""
+    made = canonical_turns(records, record, layouts)
+    made = made.withColumn("formatted", format_turns(F.col("turns")))
     return made.withColumn("mask", loss_mask(F.col("formatted")))
 
 
+def stored_record(turns: Column) -> Column:
+    """A conversation as the variant that its exchange layout gives: one question and answer, with or without a system text, as named fields, anything longer as messages."""
+    roles, texts = F.transform(turns, lambda t: t["role"]), F.transform(turns, lambda t: t["text"])
+    named = lambda *fields: F.to_variant_object(F.struct(*[F.get(texts, F.lit(i)).alias(f) for i, f in enumerate(fields)]))
+    whole = F.forall(texts, lambda t: t.isNotNull())
+    short = F.when(whole & (roles == F.array(F.lit("user"), F.lit("assistant"))), named("prompt", "completion"))
+    short = short.when(whole & (roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))), named("system", "prompt", "completion"))
+    return short.otherwise(F.to_variant_object(F.struct(turns.alias("turns"))))
+
+
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:
     probe = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"), F.lit(PROBE).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    made = format_chat(gather_rows(rows))
+    made = format_chat(gather_rows(rows).select("conv_id", stored_record(F.col("turns")).alias("record")))
     turns, loss = read_turns(F.col("formatted")), masked_text(F.col("formatted"), F.col("mask"))
     back = made.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

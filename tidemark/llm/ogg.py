@@ -79,23 +79,30 @@ def mux(payload: bytes, note: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """A logical stream read back: whole packets, the sample position at the end of those that a page dates, and what was wrong with it."""
+    """A logical stream read back: whole packets, the sample position at the end of those that a page dates, and what was wrong with it: pages lost (gaps), repeated or late, whether its first page is there and whether it ended."""
 
     packets: list[bytes] = field(default_factory=list)
     granules: list[int | None] = field(default_factory=list)
     pages: int = 0
     gaps: int = 0
+    repeats: int = 0
+    begun: bool = False
     ended: bool = False
+    next: int = 0
+    first: bytes = b""
     part: bytearray | None = None
 
 
-def demux(media: bytes) -> tuple[dict[int, Stream], int]:
-    """The logical streams by serial number, and how many bytes or pages were unreadable.
+def demux(media: bytes) -> tuple[dict[int, list[Stream]], int]:
+    """The logical streams by serial number, chained ones in order, and how many bytes runs or pages were unreadable.
 
     A page with a wrong checksum is skipped and counted; reading goes on at the next capture
-    pattern. A packet that loses a page is dropped, never joined over the gap.
+    pattern. A packet that loses a page is dropped, never joined over the gap. A page that came
+    before, or comes after a later one, is skipped and counted as a repeat. A first page that differs
+    from the stream's own begins a chained stream of that serial; other pages behind a last page
+    count as unreadable.
     """
-    streams: dict[int, Stream] = {}
+    streams: dict[int, list[Stream]] = {}
     bad, at = 0, 0
     while at < len(media):
         if media[at : at + 4] != b"OggS" or at + 27 > len(media):
@@ -114,16 +121,25 @@ def demux(media: bytes) -> tuple[dict[int, Stream], int]:
             if at < 0:
                 break
             continue
-        s = streams.setdefault(serial, Stream())
-        if number != s.pages + s.gaps:
-            s.gaps += max(0, number - s.pages - s.gaps)
+        chain = streams.setdefault(serial, [])
+        if not chain or (flags & FIRST and page != chain[-1].first):
+            chain.append(Stream(begun=bool(flags & FIRST), first=page))
+        s, body, at = chain[-1], at + 27 + n, end
+        if number < s.next:
+            s.repeats += 1
+            continue
+        if s.ended:
+            bad += 1
+            continue
+        if number > s.next:
+            s.gaps += number - s.next
             s.part = None
+        s.next = number + 1
         s.pages += 1
-        s.ended |= bool(flags & LAST)
+        s.ended = bool(flags & LAST)
         skip = bool(flags & CONTINUED) and s.part is None  # the packet began on a page that is lost
         if not flags & CONTINUED:
             s.part = None
-        body = at + 27 + n
         for value in lacing:
             s.part = (s.part if s.part is not None else bytearray()) + media[body : body + value]
             body += value
@@ -136,24 +152,46 @@ def demux(media: bytes) -> tuple[dict[int, Stream], int]:
             s.part = None
         if granule >= 0 and s.granules:
             s.granules[-1] = granule
-        at = end
     return streams, bad
 
 
-def packet_times(stream: Stream, rate: int, samples: int) -> list[float]:
-    """Start of each data packet in seconds: counted back from dated packets at samples a packet (the last may be shorter), forward where none follows."""
+@dataclass
+class Audio:
+    """The data packets of chained streams in a row, the start of each in seconds, the payload's length in seconds, and whether any header was missing or odd."""
+
+    packets: list[bytes]
+    times: list[float]
+    seconds: float
+    odd: int
+
+
+def read_audio(chain: list[Stream]) -> Audio:
+    """The samples of the streams of one serial. A stream whose first page is lost, whose header is short or of another kind, or whose rate is 0 is read at the usual rate and counted as odd."""
+    out = Audio([], [], 0.0, 0)
+    for s in chain:
+        head = s.packets[0] if s.begun and s.packets else b""
+        known = len(head) >= 12 and head[:4] == b"PCM8" and struct.unpack_from("<I", head, 4)[0] > 0
+        rate, samples = struct.unpack_from("<II", head, 4) if known else (RATE, PACKET)
+        out.odd += not known
+        skip = int(s.begun)  # the header is no data
+        times = packet_times(s, rate, samples, skip)
+        out.packets += s.packets[skip:]
+        out.times += [out.seconds + t for t in times]
+        out.seconds += sum(map(len, s.packets[skip:])) / rate
+    return out
+
+
+def packet_times(stream: Stream, rate: int, samples: int, skip: int = 1) -> list[float]:
+    """Start of each packet behind the first skip in seconds: counted back from dated packets at samples a packet (the last may be shorter), forward where none follows."""
     times: list[float | None] = [None] * len(stream.packets)
     end = None
-    for i in range(len(stream.packets) - 1, 0, -1):
+    for i in range(len(stream.packets) - 1, skip - 1, -1):
         if stream.granules[i] is not None:
             end = stream.granules[i]
         if end is not None:
             end = max(0, end - len(stream.packets[i]))
             times[i] = end / rate
-    for i in range(1, len(times)):
-        if times[i] is None:
-            times[i] = (i - 1) * samples / rate
-    return times[1:]
+    return [(i - skip) * samples / rate if t is None else t for i, t in enumerate(times) if i >= skip]
 
 
 def encode_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -172,21 +210,29 @@ def encode_media(docs: DataFrame, text: str = "text", media: str = "media") -> D
 
 
 def decode_media(docs: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
-    """keep, and what an Ogg value holds: payload, notes, sizes, digests and a feature line. A null or unreadable value gives an empty payload and counts as bad."""
+    """keep (without columns named as the outputs), and what an Ogg value holds: payload, notes, sizes, digests and a feature line.
+
+    A null or unreadable value gives an empty payload; what could not be read, was lost, came twice or
+    had an odd header or note is counted in the feature line. Repeated rows are read alike.
+    """
     names = ["n_bytes", "payload", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = ["n_bytes long", "payload binary", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string"]
+    keep = [k for k in keep if k not in names]
 
     def read(value: bytes | None) -> tuple:
-        streams, bad = demux(value or b"")
-        audio, notes = streams.get(AUDIO, Stream()), streams.get(NOTES, Stream())
-        payload = b"".join(audio.packets[1:])
-        note = dict(x.split(b"=", 1) for x in b"".join(notes.packets[1:]).split(b";") if b"=" in x)
-        rate, samples = struct.unpack("<II", audio.packets[0][4:12]) if audio.packets else (RATE, PACKET)
-        times = packet_times(audio, rate, samples)
-        mean = sum(payload) / max(1, len(payload))
-        feature = f"streams={len(streams)} pages={audio.pages + notes.pages} packets={max(0, len(audio.packets) - 1)} seconds={len(payload) / rate:.6f} last={times[-1] if times else 0.0:.6f} mean={mean:.6f} bad={bad + audio.gaps + notes.gaps}"
         raw = value or b""
-        return int(note.get(b"bytes", b"0")), payload, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature
+        streams, bad = demux(raw)
+        every = [s for chain in streams.values() for s in chain]
+        audio = read_audio(streams.get(AUDIO, []))
+        note = dict(x.split(b"=", 1) for s in streams.get(NOTES, []) for p in s.packets[1:] for x in p.split(b";") if b"=" in x)
+        stated = note.get(b"bytes", b"")
+        bad += audio.odd + (not (stated.isdigit() and len(stated) <= 18)) + (not raw)
+        payload = b"".join(audio.packets)
+        mean = sum(payload) / max(1, len(payload))
+        lost, again = sum(s.gaps for s in every), sum(s.repeats for s in every)
+        feature = f"streams={len(every)} pages={sum(s.pages for s in every)} packets={len(audio.packets)} seconds={audio.seconds:.6f} last={audio.times[-1] if audio.times else 0.0:.6f} mean={mean:.6f} bad={bad} gaps={lost} repeats={again}"
+        n_bytes = int(stated) if stated.isdigit() and len(stated) <= 18 else 0
+        return n_bytes, payload, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
