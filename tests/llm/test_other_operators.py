@@ -48,9 +48,30 @@ def test_warc_records_link_and_digest(spark):
     assert fields["WARC-Refers-To"] == "<urn:1>" and rest.encode()[: int(fields["Content-Length"])] == text.block.encode()
     assert by[2, "conversion"].block == "" and by[3, "conversion"].block == "no header at all" and len(by[4, "conversion"].block) > 249000
     assert warc.build_derivatives(df.limit(0)).count() == 0
+    hostile = df.filter("page_id = 2").withColumn("target_uri", F.lit("http://a/\r\nWARC-Type: x\n"))
+    for r in warc.to_warc(warc.build_derivatives(hostile)).collect():
+        assert "WARC-Target-URI: http://a/%0D%0AWARC-Type: x%0A\r\n" in r.warc
     assert warc.build_derivatives(warc.responses(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string"))).count() == 2
 
 
+def test_warc_references_like_the_standard_library(spark):
+    import html
+
+    cases = ["a &#8217; b", "&#x1F600;&#X41;", "&eacute;&Omega;&copy;", "&amp;lt; &amp;#65;", "a & b && c;", "&nosuch; &amp", "&#0; &#xD800; &#1114112;", "no reference", "", "&quot;x&quot; &apos;", "tail &"]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = {r.i: r.d for r in df.select("i", warc.decode_references(F.col("t")).alias("d")).collect()}
+    for i, t in enumerate(cases):
+        if i == 5:
+            want = t  # html also takes `&amp` without its semicolon
+        elif i == 6:
+            want = t  # no characters: they stay
+        else:
+            want = html.unescape(t)
+        assert got[i] == want, t
+    tagged = df.select(warc.folded_lines(warc.without_tags(F.lit("<P>a  b\t</P>\n \n<DIV>c<br/>  d</div ><!-- <p> -->e<script>x</script> "))).alias("d")).first().d
+    assert tagged == "a b\nc\nd\ne"
+
+
 # cover tree
 
 
@@ -89,7 +110,7 @@ def brute_vectors(rows, least):
     return {i: (links[i], root(i)) for i, *_ in rows}
 
 
-@pytest.mark.parametrize("seed,block", [(1, 1024), (2, 7)])
+@pytest.mark.parametrize("seed,block", [(1, 1024), (2, 7), (3, 20)])
 def test_cover_tree_matches_brute_force(spark, seed, block):
     rows = vectors(seed)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"n": F.lit("x"), "k": F.lit("x"), "rep": F.lit("x"), "component": F.lit("x")})
@@ -99,12 +120,36 @@ def test_cover_tree_matches_brute_force(spark, seed, block):
 
 
 def test_cover_tree_rows_that_share_an_id(spark):
-    a, b, c = [1.0, 0.0], [0.0, 1.0], [0.001, 1.0]
-    rows = [(3, a, 0), (5, a, 0), (5, b, 0), (9, c, 0), (7, [1.0, 1.0], 0), (7, [1.0, 1.0], 0)]
+    """Each row counts its own links; the component is that of all rows of the id."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=12), rng.normal(size=12)
+    near = lambda v: (v + rng.normal(size=12) * 0.003).tolist()
+    rows = [(5, a.tolist()), (5, b.tolist()), (9, near(b)), (10, near(b)), (7, near(a)), (8, rng.normal(size=12).tolist()), (7, None), (None, a.tolist()), (9, rows9 := near(b)), (9, rows9)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in cover_tree.near_vectors(df).collect() if r.vec_id is not None)
+    assert got == sorted([(5, 1, 5), (5, 4, 5), (9, 4, 5), (10, 4, 5), (7, 1, 5), (8, 0, 8), (7, 0, 5), (9, 4, 5), (9, 4, 5)])
+
+
+def test_cover_tree_blocks_by_locality_prune(spark):
+    """Clustered vectors: far blocks never meet, links stay exact."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(12):
+        center = np.eye(16)[c]
+        rows += [(len(rows) + i, (center + rng.normal(size=16) * 0.02).tolist(), 1) for i in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = cover_tree.near_vectors(df).collect()
-    assert len(got) == len(rows) and {(r.vec_id, r.component_id) for r in got} == {(3, 3), (5, 3), (9, 3), (7, 7)}
-    assert {r.n_links for r in got if r.vec_id == 7} == {1}
+    s = cover_tree.Settings(block=30)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.near_vectors(df, s).collect()}
+    assert got == brute_vectors(rows, 0.98)
+    kept = {}
+
+    def keep(frame, name):
+        kept[name] = cover_tree.materialize(frame, name)
+        return kept[name]
+
+    cover_tree.near_vectors(df, s, keep)
+    blocks, met = kept["ct-packed"].count(), kept["ct-met"].count()
+    assert blocks >= 6 and met <= 3 * blocks
 
 
 def test_cover_tree_invariants_and_pruning():
@@ -161,19 +206,19 @@ def test_ogg_round_trip_of_packets_over_pages():
     packets = [(bytes(rng.randrange(256) for _ in range(n)), i) for i, n in enumerate((10, 0, 254, 255, 256, 510, 70000, 130000, 1, 65025))]
     pages = ogg.stream_pages(7, packets)
     streams, bad = ogg.demux(b"".join(pages))
-    assert bad == 0 and streams[7].packets == [p for p, _ in packets] and streams[7].gaps == 0 and streams[7].ended
-    assert streams[7].granules[-1] == len(packets) - 1
+    assert bad == 0 and streams[7][0].packets == [p for p, _ in packets] and streams[7][0].gaps == 0 and streams[7][0].ended
+    assert streams[7][0].granules[-1] == len(packets) - 1
     broken = list(pages)
     broken[2] = broken[2][:100] + bytes([broken[2][100] ^ 1]) + broken[2][101:]
     streams, bad = ogg.demux(b"".join(broken))
-    assert bad == 1 and streams[7].gaps == 1 and all(p in [q for q, _ in packets] for p in streams[7].packets)
+    assert bad == 1 and streams[7][0].gaps == 1 and all(p in [q for q, _ in packets] for p in streams[7][0].packets)
     assert ogg.demux(b"")[0] == {} and ogg.demux(b"junk" + pages[0])[1] == 1
 
 
 def test_ogg_times(spark):
     payload = bytes(200) * 60
     streams, _ = ogg.demux(ogg.mux(payload, b"n"))
-    assert ogg.packet_times(streams[ogg.AUDIO], ogg.RATE, ogg.PACKET) == [i * ogg.PACKET / ogg.RATE for i in range(3)]
+    assert ogg.packet_times(streams[ogg.AUDIO][0], ogg.RATE, ogg.PACKET) == [i * ogg.PACKET / ogg.RATE for i in range(3)]
 
 
 def test_ogg_column(spark):
@@ -185,11 +230,48 @@ def test_ogg_column(spark):
         want = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
         r = got[i]
         assert bytes(r.payload) == want and (r.n_bytes, r.payload_bytes) == (len(raw), len(want))
-        assert r.payload_sha256 == hashlib.sha256(want).hexdigest() and r.tail_crc32 == zlib.crc32(want[-16:]) and r.feature.endswith("bad=0")
+        assert r.payload_sha256 == hashlib.sha256(want).hexdigest() and r.tail_crc32 == zlib.crc32(want[-16:]) and r.feature.endswith("bad=0 gaps=0 repeats=0")
     assert got[7].media_sha256 == got[8].media_sha256 and got[7].feature == got[8].feature
     assert ogg.decode_media(ogg.encode_media(df.limit(0)), ["doc_id"]).count() == 0
 
 
+def test_ogg_repeated_swapped_missing_and_chained_pages():
+    packets = [(i.to_bytes(2, "big") * 150, i) for i in range(400)]
+    pages = ogg.stream_pages(7, packets)
+    assert len(pages) >= 4
+
+    def read(order):
+        streams, bad = ogg.demux(b"".join(order))
+        return streams[7], bad
+
+    (s,), bad = read([pages[0], *(p for p in pages[1:] for _ in range(2))])
+    assert s.packets == [p for p, _ in packets] and (bad, s.gaps, s.repeats) == (0, 0, len(pages) - 1)
+    (s,), bad = read([pages[0], pages[0], *pages[1:]])
+    assert len(s.packets) == len(packets) and s.repeats == 1
+    (s,), bad = read([pages[0], pages[2], pages[1], *pages[3:]])  # the late page is lost, with what spans it
+    assert (s.gaps, s.repeats) == (1, 1) and set(s.packets) < {p for p, _ in packets} and s.ended
+    (s,), bad = read([*pages[1:]])
+    assert not s.begun and s.gaps == 1
+    (s,), bad = read([*pages, pages[1]])
+    assert s.repeats == 1 and bad == 0
+    other = ogg.stream_pages(7, [(b"PCM8 other", 0), (b"y" * 10, 10)])
+    chain, bad = read([*pages, *other])
+    assert [len(s.packets) for s in chain] == [len(packets), 2] and bad == 0 and all(s.ended for s in chain)
+
+
+def test_ogg_odd_headers_and_notes(spark):
+    audio = lambda head: b"".join([*ogg.stream_pages(ogg.AUDIO, [(head, 0), (b"abc", 3)])])
+    rate0 = b"PCM8" + bytes(4) + (4800).to_bytes(4, "little") + b"\1"
+    note = b"".join(ogg.stream_pages(ogg.NOTES, [(b"NOTE", 0), (b"bytes=many;x", 1)]))
+    good = ogg.mux(b"abc" * 64, b"bytes=190")
+    cases = [audio(b"PCM8"), audio(rate0), audio(b"other kind of header") + note, good + good, b"no ogg", b"", None]
+    df = spark.createDataFrame([(i, None if c is None else bytearray(c), "k") for i, c in enumerate(cases)], "doc_id long, media binary, feature string")
+    got = {r.doc_id: r for r in ogg.decode_media(df, ["doc_id", "feature"]).collect()}
+    assert all(bytes(got[i].payload) == b"abc" and got[i].n_bytes == 0 and "bad=2" in got[i].feature for i in range(3))
+    assert bytes(got[3].payload) == b"abc" * 64 and "repeats=" in got[3].feature
+    assert all(bytes(got[i].payload) == b"" and "bad=0 " not in got[i].feature for i in (4, 5, 6))
+
+
 # URL filters
 
 
@@ -238,23 +320,24 @@ def test_chat_round_trip(spark):
     nasty = ["\\### Assistant: </turn> ok", "\\b\\l\\h\\c", "### user: x</turn>\n", "", None, "a:b # <c>", "\\\\", "é😀" * 1000, "</turn>\n### assistant: no"]
     rows = [(c, t, r, x) for c in range(3) for t, (r, x) in enumerate(zip(["user", "assistant", None, "system", "a: b", "assistant", "#<\\>", "assistant", "user"], nasty, strict=True))]
     rows += [(5, 0, "user", "same"), (5, 0, "user", "same"), (6, None, "assistant", "x"), (None, 0, "user", "nobody")]
+    rows += [(7, 0, "user", "q"), (7, 1, "assistant", "a#"), (8, 0, "system", "s"), (8, 1, "user", "q"), (8, 2, "assistant", "a"), (9, 0, "user", "q"), (9, 1, "assistant", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"turns": F.lit(1), "mask": F.lit(1)})
-    out = chat.format_chat(chat.gather_rows(df))
+    stored = lambda rows: chat.gather_rows(rows).select("conv_id", chat.stored_record(F.col("turns")).alias("record"), F.lit(1).alias("mask"), F.lit(2).alias("v_"))
+    out = chat.format_chat(stored(df))
     got = {r.conv_id: r for r in out.select("conv_id", chat.read_turns(F.col("formatted")).alias("t"), chat.masked_text(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
     for c in {r[0] for r in rows}:
         mine = sorted((r[1:] for r in rows if r[0] == c), key=lambda r: (r[0] is not None, r[0] or 0))
         assert [(t.role, t.text) for t in got[c].t] == [(r or "", x or "") for _, r, x in mine]
         assert got[c].loss == "".join(x or "" for _, r, x in mine if r == "assistant")
-    assert chat.format_chat(chat.gather_rows(df.limit(0))).count() == 0
+    assert chat.format_chat(stored(df.limit(0))).count() == 0 and {"v_", "mask", "fingerprint"} < set(out.columns)
 
 
 def test_chat_layouts_by_fingerprint(spark):
-    sharegpt = spark.createDataFrame([(1, [("human", "q"), ("gpt", "a")])], "conv_id long, conversations array<struct<from:string,value:string>>")
-    alpaca = spark.createDataFrame([(1, "a", "i", "q")], "conv_id long, output string, instruction string, input string")
+    sharegpt = spark.createDataFrame([(1, ([("human", "q"), ("gpt", "a")],))], "conv_id long, record struct<conversations:array<struct<from:string,value:string>>>")
+    alpaca = spark.createDataFrame([(1, ("a", "i", "q"), "x")], "conv_id long, record struct<output:string,instruction:string,input:string>, turns string")
     assert [tuple(t) for t in chat.canonical_turns(sharegpt).first().turns] == [("user", "q"), ("assistant", "a")]
     assert [tuple(t) for t in chat.canonical_turns(alpaca).first().turns] == [("system", "i"), ("user", "q"), ("assistant", "a")]
-    with pytest.raises(ValueError, match="no mapping"):
-        chat.canonical_turns(spark.createDataFrame([(1, "x")], "conv_id long, other string"))
+    assert chat.canonical_turns(spark.createDataFrame([(1, ("x",))], "conv_id long, record struct<other:string>")).first().turns is None
 
 
 def test_chat_json_records_of_mixed_layouts(spark):
@@ -267,8 +350,12 @@ def test_chat_json_records_of_mixed_layouts(spark):
         '{"other": 1}',
         "not json",
         None,
+        '{"messages": []}',
+        '{"data": {"chat log": [{"who": {"name": "user"}, "said": "q"}]}}',
     ]
     df = spark.createDataFrame(list(enumerate(records)), "id int, record string")
-    got = {r.id: r.turns and [tuple(t) for t in r.turns] for r in chat.canonical_json_turns(df).collect()}
+    rows = {r.id: r for r in chat.canonical_turns(df).collect()}
+    got = {i: r.turns and [tuple(t) for t in r.turns] for i, r in rows.items()}
     pair = [("user", "q"), ("assistant", "a")]
-    assert got == {0: pair, 1: pair, 2: pair, 3: [("system", "s"), *pair], 4: pair, 5: None, 6: None, 7: None}
+    assert got == {0: pair, 1: pair, 2: pair, 3: [("system", "s"), *pair], 4: pair, 5: None, 6: None, 7: None, 8: [], 9: None}
+    assert rows[9].fingerprint == chat.fingerprint(["data.chat log[].who.name", "data.chat log[].said"]) and rows[6].fingerprint is None

@@ -1,7 +1,10 @@
 """The pipeline's stages on a small table, each against its operator's contract."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tests.llm.test_text_operators import brute_near, check_mix
+from tidemark.llm import minhash, registry
 from tidemark.llm import sentencepiece_codec as sp
 
 
@@ -31,9 +34,34 @@ def test_pipeline_stages(spark, sf_dir):
     texts = {r.doc_id: r.text for r in mixed.collect()}
     out = stage["sentencepiece"](spark, mixed, sf_dir)
     assert out.count() == mixed.count()
-    table = sp._byte_table(v)
-    assert all(sp.decode_ids(r.piece_ids, table).decode() == texts[r.doc_id] for r in out.collect())
+    assert all(r.decoded == texts[r.doc_id] for r in sp.decode(out, v).collect())
 
 
 def test_run_gives_the_last_stage(spark, sf_dir):
     assert P.run(spark, sf_dir).columns == ["doc_id", "lang", "source", "n_pieces", "piece_ids"]
+
+
+def test_near_duplicate_stage_leaves_other_results_alone(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    open_ = minhash.near_duplicates(docs)
+    vectors = registry.QUERIES["op4_cover_tree"](spark, sf_dir)
+    stage = dict(P.STAGES)["near_duplicates"]
+    assert stage(spark, docs, sf_dir).count() == sum(r.kept for r in open_.collect())
+    assert vectors.count() > 0
+
+
+def test_near_duplicate_stage_judges_texts_of_a_repeated_id(spark, sf_dir):
+    same = " ".join(f"w{k}" for k in range(40))
+    rows = [(3, same, "a"), (5, same + " x", "b"), (5, "a text of its own, like no other one here", "c"), (5, "a text of its own, like no other one here", "d"), (6, None, "e"), (6, "", "f"), (None, same, "g"), (7, "x", "h")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("component_id", F.lit(1))
+    got = sorted((r.doc_id or 0, r.text or "") for r in dict(P.STAGES)["near_duplicates"](spark, docs, sf_dir).collect())
+    assert got == sorted([(3, same), (5, rows[2][1]), (6, ""), (0, same), (7, "x")])
+
+
+def test_stages_on_empty_and_odd_documents(spark, sf_dir):
+    odd = [(1, None, None, None, None), (2, "", None, None, 0), (3, "12 !!", "en", "s", 5), (4, "word " * 100000, "en", "s", 500000), (4, "word " * 100000, "en", "s", 500000), (5, "der und die", "de", None, 11)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit(1), "copies": F.lit(1), "piece_ids": F.lit(1)})
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert len(out.collect()) >= 0 and "doc_id" in out.columns
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name

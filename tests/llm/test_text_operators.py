@@ -13,7 +13,7 @@ from tidemark.llm import sentencepiece_codec as sp
 from tidemark.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ["score", "predicted", "lang_pred", "component_id", "bands", "size", "target", "piece_ids", "copies", "digest"]
+CLASHING = ["score", "predicted", "lang_pred", "component_id", "bands", "size", "target", "piece_ids", "path_score", "copies", "digest", "id_", "own", "part"]
 
 
 def clash(df):
@@ -114,12 +114,103 @@ def test_pieces_hold_the_whole_text():
         assert "".join(textnum.pieces(text, 20)) == text
 
 
-def test_quality_features_do_not_depend_on_pieces(monkeypatch):
-    text = " ".join(f"word{i % 7}" for i in range(500))
-    whole = np.concatenate(list(quality.feature_rows(text, 12, (3, 4))))
-    monkeypatch.setattr(quality, "pieces", lambda t: textnum.pieces(t, 64))
-    cut = np.concatenate(list(quality.feature_rows(text, 12, (3, 4))))
-    assert (np.bincount(whole, minlength=4096)[2:] == np.bincount(cut, minlength=4096)[2:]).all()
+def test_features_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(7)
+    for sep in (" ", "\n", " \n "):
+        text = " " + sep.join(rng.choice(["aa", "bb bb", "word", "été"]) for _ in range(500)) + "\n"
+        count = lambda: (np.bincount(np.concatenate(list(quality.feature_rows(text, 12, (3, 4)))), minlength=4096), language_id._gram_counts(text, 12, (1, 2, 3)))  # noqa: E731, B023
+        with monkeypatch.context() as m:
+            whole = count()
+            for size in (64, 9):
+                m.setattr(quality, "pieces", lambda t, size=size: textnum.pieces(t, size))
+                m.setattr(language_id, "pieces", lambda t, size=size: textnum.pieces(t, size))
+                assert all((a == b).all() for a, b in zip(whole, count(), strict=True))
+    monkeypatch.setattr(language_id, "pieces", lambda t: textnum.pieces(t, 16))
+    assert "".join(language_id.folded("x" * 100)) == " " + "x" * 100 + " "  # a run without white space gets none
+
+
+def slow_mix(h):
+    m = 2**64 - 1
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & m
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & m
+    return h ^ (h >> 31)
+
+
+def slow_quality_rows(text, bits, orders):
+    """The rows of feature_rows in plain Python, but for words, which are hashed alone."""
+    words, rows = (text or "").split(), []
+    code = [int(textnum.word_hashes(np.array([ord(c) for c in w], np.uint32), np.zeros(len(w), bool))[0]) for w in words]
+    back = [next((k for k in range(1, 5) if i >= k and words[i] == words[i - k]), 0) for i in range(len(words))]
+    for i, w in enumerate(words):
+        pattern = back[i] * 25 + (back[i - 1] * 5 if i > 0 else 0) + (back[i - 2] if i > 1 else 0)
+        rows += [code[i] >> (64 - bits), slow_mix(2 * back[i]) >> (64 - bits), slow_mix(2 * pattern + 1) >> (64 - bits)]
+        for n in orders:
+            for at in range(len(w) + 3 - n):
+                h = n
+                for c in (" " + w + " ")[at : at + n]:
+                    h = (h * 0x100000001B3 + ord(c)) & (2**64 - 1)
+                rows.append(slow_mix(h) >> (64 - bits))
+    return rows
+
+
+def test_quality_scores_match_brute_force(spark):
+    rng = random.Random(3)
+    base = [(i, " ".join(rng.choice(["good", "fine", "text"]) for _ in range(rng.randint(1, 20))) if i % 2 else " ".join(["bad"] * rng.randint(2, 9)), i % 2) for i in range(80)]
+    s = quality.Settings(bits=10)
+    model = quality.train(spark.createDataFrame(base, "doc_id long, text string, label int"), s)
+    odd = [(900, None), (901, ""), (902, "  \n"), (903, "x"), (904, "été ÉTÉ  a\tb"), (905, "ab " * 300)]
+    docs = clash(spark.createDataFrame([r[:2] for r in base] + odd, "doc_id long, text string"))
+    margin = model.embedding @ (model.output[:, 1] - model.output[:, 0])
+    for r in quality.score(docs, model, s).collect():
+        rows = slow_quality_rows(r.text, s.bits, s.orders)
+        want = 1 / (1 + np.exp(-(sum(margin[x] for x in rows) / max(1, len(rows)) + model.bias[1] - model.bias[0])))
+        assert r.score == pytest.approx(want) and r.predicted == int(want >= quality.THRESHOLD)
+
+
+def test_language_scores_match_brute_force(spark):
+    s = language_id.Settings(bits=11)
+    base = texts(4, 60)
+    model = language_id.train(spark.createDataFrame(base, DOCS), s)
+    m, frequency, n = 2**64 - 1, defaultdict(int), 0
+
+    def grams(text):
+        out, t = defaultdict(int), " " + " ".join(text.lower().split()) + " "
+        for at in range(len(t)):
+            h = 0
+            for k in range(1, 4):
+                if at + k <= len(t):
+                    h = (h * 0x100000001B3 + ord(t[at + k - 1]) + k) & m
+                    out[((h * 0x9E3779B97F4A7C15) & m) >> (64 - s.bits)] += 1
+        return out
+
+    for _, t, *_ in base:
+        n += 1
+        for g in grams(t):
+            frequency[g] += 1
+    for g in range(1 << s.bits):
+        assert model.idf[g] == pytest.approx(np.log((1 + n) / (1 + frequency[g])) + 1)
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in base[:20]] + [(900, "der the"), (901, "Ünd  THE\n"), (902, "?! 1"), (903, None)], "doc_id long, text string").withColumn("id", F.lit(3))
+    for r in language_id.identify(docs, model, s).collect():
+        assert r.id == 3
+        if not any(map(str.isalpha, r.text or "")):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        x = {g: (1 + np.log(c)) * model.idf[g] for g, c in grams(r.text).items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        z = sum(v / norm * model.weights[g] for g, v in x.items()) + model.bias
+        p = np.exp(z / model.temperature - (z / model.temperature).max())
+        p /= p.sum()
+        assert r.lang_pred == model.classes[int(p.argmax())] and r.score == pytest.approx(p.max())
+
+
+def test_document_frequencies_are_summed_in_two_levels(spark, monkeypatch):
+    docs = spark.createDataFrame(texts(5, 90), DOCS).repartition(9)
+    s = language_id.Settings(bits=10)
+    whole = language_id.document_frequencies(docs, s)
+    monkeypatch.setattr(language_id, "MEET", 2)
+    split = language_id.document_frequencies(docs, s)
+    assert (whole[0] == split[0]).all() and whole[1] == split[1] == 90
+
 
 
 def check_mix(docs, out, sources):
@@ -185,8 +276,13 @@ def test_sentencepiece_equals_library_and_round_trips(spark):
     df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").withColumns({"piece_ids": F.lit("x"), "decoded": F.lit(1)})
     v = sp.Vocabulary.load()
     lib = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
+    score = [lib.get_score(i) for i in range(lib.get_piece_size())]
+    fused = {r.doc_id: r.decoded for r in sp.encode(df, v, decoded="decoded").collect()}
     for r in sp.decode(sp.encode(df, v), v).collect():
         text = r.text or ""
+        assert fused[r.doc_id] == r.decoded
+        if all(not lib.is_byte(i) for i in r.piece_ids):
+            assert r.path_score == sum(score[i] for i in r.piece_ids)
         assert r.piece_ids == lib.encode(text) and r.decoded == text.replace("▁", " ") == lib.decode(r.piece_ids).replace("▁", " ")
     assert sp.encode(df.limit(0), v).count() == 0
 
@@ -206,8 +302,14 @@ def test_unigram_viterbi_matches_brute_force():
 
     names = {i: p for p, i, _ in pieces}
     for w in words:
-        got = [names[i] for i in e.encode(w)]
-        assert "".join(got) == w and sum(v.scores[p] for p in got) == pytest.approx(best(w))
+        ids, score = next(e.encode([w]))
+        got = [names[i] for i in ids]
+        assert "".join(got) == w and sum(v.scores[p] for p in got) == pytest.approx(score) == pytest.approx(best(w))
+    alone, e.computed = e.computed, 0
+    assert [ids for ids, _ in e.encode(words)] == [next(e.encode([w]))[0] for w in words] and e.computed < 2 * alone
+    assert sp.shared_prefixes(["ab", "abc", "b", "ba"]) == [0, 2, 0, 1] and sp.shared_prefixes([]) == []
+    e.computed = 0
+    list(e.encode(words))
     assert e.computed < sum(map(len, words))  # prefixes were shared
 
 
@@ -260,7 +362,7 @@ def near_docs(seed):
 def test_minhash_matches_brute_force(spark, percent, block):
     docs = near_docs(percent)
     df = clash(spark.createDataFrame(docs, DOCS))
-    got = {r.doc_id: r for r in minhash.near_duplicates(df, minhash.Settings(percent=percent, block=block)).collect()}
+    got = {r.doc_id: r for r in minhash.near_duplicates(df, minhash.Settings(percent=percent, block=block, fan=3 if block == 4 else 256)).collect()}
     want = brute_near(docs, percent)
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
