@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.documents import folded_entity
 from tidemark.functions.time import disjoint, matches
 
 LEAST_CONFIDENCE = 0.7
@@ -77,12 +78,13 @@ def resolve(pairs: DataFrame, window: tuple[Column, Column] | None = None, least
 
 
 def grounded(claims: DataFrame, chunks: DataFrame, least: float = 0.5) -> DataFrame:
-    """Claims that cite a chunk given, with a span inside its text that holds every part (white space and case aside), and enough confidence; the first of a claim_id stays. claims(claim_id, ordinal, chunk_id, start, end, parts, confidence)."""
-    squash = lambda t: F.lower(F.regexp_replace(t, r"\s+", ""))
+    """Claims that cite a chunk given, with a span inside its text that holds every part (white space, case and width aside), and enough confidence; the first of a claim_id stays. claims(claim_id, ordinal, chunk_id, start, end, parts, confidence). Null and blank parts hold anywhere."""
     j = claims.join(chunks.select("chunk_id", "text"), "chunk_id")
     inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("text"))
-    span = squash(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
-    held = F.forall(F.filter("parts", lambda p: F.trim(p) != ""), lambda p: span.contains(squash(p)))
-    good = j.filter(inside & (F.col("confidence") >= least)).filter(held)
+    parts = F.filter("parts", lambda p: F.trim(p) != "")
+    # parts are folded as one string: no folding makes or takes a null character
+    near = j.filter(inside & (F.col("confidence") >= least)).withColumns({"span_": F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), "parts_": F.array_join(parts, "\0")})
+    near = folded_entity(folded_entity(near, "span_", "span_"), "parts_", "parts_")
+    good = near.filter(F.forall(F.split("parts_", "\0"), lambda p: F.col("span_").contains(p)))
     w = Window.partitionBy("claim_id").orderBy("ordinal")
-    return good.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "text")
+    return good.withColumn("n_", F.row_number().over(w)).filter("n_ = 1").drop("n_", "span_", "parts_", "text")

@@ -77,25 +77,29 @@ def similar_title_clusters(docs: DataFrame, block: list[str], ratio: float = 0.8
     return shaped.join(led.drop("first"), key).select("doc_id", "leader")
 
 
+#: Terms of a block that every text is searched for in one row.
+TERMS = 1000
+
+
 def sector_links(events: DataFrame, entities: DataFrame) -> DataFrame:
     """The strongest link of each event and sector: event_id, sector_id, confidence 3 to 1, reason.
 
-    events(event_id, text); entities(sector_id, term, confidence, ordinal, reason) is the entity dictionary,
-    a small dimension. Single-token terms are matched by an equi-join on tokens, so the cost is
-    one pass over the text and a hash join; only terms that hold a separator are searched as substrings.
-    Ties keep the entity with the smaller ordinal.
+    events(event_id, text); entities(sector_id, term, confidence, ordinal, reason) is the entity
+    dictionary, a small dimension. A term links wherever the text contains it, inside longer words and
+    unspaced runs too; case does not count. Texts meet the distinct terms in blocks of about TERMS, so the
+    cost is a pass over the text per block and only found terms leave it. Null and empty terms link with nothing; null texts
+    have no links. Ties keep the entity with the smaller ordinal.
     """
-    lower = events.select("event_id", F.lower("text").alias("text"))
-    terms = entities.withColumn("term", F.lower("term"))
-    single = terms.filter(~F.col("term").rlike(r"[^\p{L}\p{N}]"))
-    phrases = terms.filter(F.col("term").rlike(r"[^\p{L}\p{N}]"))
-    tokens = lower.select("event_id", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("term"))
-    hits = tokens.join(single, "term").select("event_id", "sector_id", "confidence", "ordinal", "reason")
-    first = phrases.withColumn("head", F.regexp_extract("term", r"([\p{L}\p{N}]+)", 1))
-    found = tokens.withColumnRenamed("term", "head").join(first, "head").join(lower, "event_id").filter(F.col("text").contains(F.col("term")))
-    hits = hits.unionByName(found.select("event_id", "sector_id", "confidence", "ordinal", "reason"))
-    best = F.min(F.struct((-F.col("confidence")).alias("c"), "ordinal", "reason")).alias("b")
-    return hits.groupBy("event_id", "sector_id").agg(best).select("event_id", "sector_id", (-F.col("b.c")).alias("confidence"), F.col("b.reason").alias("reason"))
+    lower = events.select("event_id", F.lower("text").alias("text")).filter("text is not null")
+    known = entities.withColumn("term", F.lower("term")).filter("term <> ''")
+    per_term = known.groupBy("term", "sector_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "ordinal", "reason")).alias("b"))
+    distinct = known.select("term").distinct()
+    blocks = max(1, -(-distinct.count() // TERMS))
+    packed = distinct.groupBy(F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block")).agg(F.collect_list("term").alias("terms"))
+    met = lower.join(F.broadcast(packed) if blocks <= 100 else packed)
+    found = met.select("event_id", F.explode(F.filter("terms", lambda t: F.col("text").contains(t))).alias("term"))
+    best = found.join(per_term, "term").groupBy("event_id", "sector_id").agg(F.min("b").alias("b"))
+    return best.select("event_id", "sector_id", (-F.col("b.c")).alias("confidence"), F.col("b.reason").alias("reason"))
 
 
 def tri_partition(docs: DataFrame, event: str) -> DataFrame:

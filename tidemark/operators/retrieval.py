@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import bigrams, cosine, search_tokens
+from tidemark.sources.steps import written
 
 #: BM25 parameters, list sizes, the rank constant of fusion.
 K1, B = 1.2, 0.75
+#: Rows of query terms that may be broadcast; larger sides are shuffled.
+BROADCAST_ROWS = 500_000
 DENSE_K, BM25_K, FUSED_K, RETURN_K, PER_DOCUMENT, RRF_K = 40, 40, 50, 12, 4, 60
 
 
@@ -25,17 +28,25 @@ def bm25(docs: DataFrame, queries: DataFrame, part: str) -> DataFrame:
     """(query_id, doc_id, score) with score > 0 of docs(part, doc_id, tokens) for queries(part, query_id, tokens).
 
     Statistics are those of the part, the documents a query may see. Repeated query tokens count
-    again. Only terms that some query holds are counted and joined; the query side is the small one.
+    again. Only terms that some query holds are counted; their counts per document are written once
+    and read for the document frequencies and for the scores.
     """
     asked = queries.select(part, "query_id", F.explode("tokens").alias("term")).groupBy(part, "query_id", "term").agg(F.count("*").alias("asked"))
-    size, df = corpus_statistics(docs, part)
+    asked = written(asked, "bm25-asked")
+    docs = docs.repartition("doc_id")  # a document's counts stay in one partition, so its scores add up before they are shuffled
+    size = docs.groupBy(part).agg(F.count("*").alias("n_docs"), (F.sum(F.size("tokens")).cast("double") / F.count("*").cast("double")).alias("avgdl"))
     terms = docs.select(part, "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    wanted = asked.select(part, "term").distinct()
-    tf = terms.join(wanted, [part, "term"], "left_semi").groupBy(part, "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    joined = tf.join(asked, [part, "term"]).join(df, [part, "term"]).join(size, part)
+    tf = terms.groupBy(part, "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    wanted = written(asked.select(part, "term").distinct(), "bm25-terms")
+    n_wanted, n_asked = wanted.count(), asked.count()
+    tf = written(tf.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, [part, "term"], "left_semi"), "bm25-counts")
+    df = tf.groupBy(part, "term").agg(F.count("*").alias("df"))
+    rated = asked.join(df, [part, "term"]).join(size, part)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rated = rated.groupBy(part, "term", "avgdl").agg(F.collect_list(F.struct("query_id", (F.col("asked") * idf).alias("gain"))).alias("by")) if n_asked <= BROADCAST_ROWS else rated.select(part, "term", "avgdl", F.array(F.struct("query_id", (F.col("asked") * idf).alias("gain"))).alias("by"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return joined.groupBy("query_id", "doc_id").agg(F.sum(F.col("asked") * idf * weight).alias("score")).filter("score > 0")
+    met = tf.join(F.broadcast(rated) if n_asked <= BROADCAST_ROWS else rated, [part, "term"]).select("doc_id", weight.alias("w"), F.explode("by").alias("q"))
+    return met.groupBy(F.col("q.query_id").alias("query_id"), "doc_id").agg(F.sum(F.col("q.gain") * F.col("w")).alias("score")).filter("score > 0")
 
 
 def top(df: DataFrame, by: str, score: str, k: int, into: str) -> DataFrame:
@@ -46,7 +57,7 @@ def top(df: DataFrame, by: str, score: str, k: int, into: str) -> DataFrame:
 
 def dense(vectors: DataFrame, queries: DataFrame, part: str) -> DataFrame:
     """(query_id, doc_id, score): cosine of vectors(part, doc_id, v) with queries(part, query_id, q) of the same part; unequal lengths are skipped, negatives kept."""
-    pairs = vectors.join(queries, part)
+    pairs = vectors.filter("v is not null").join(queries.filter("q is not null"), part)
     return pairs.select("query_id", "doc_id", cosine(F.col("v"), F.col("q")).alias("score")).filter("score is not null")
 
 
@@ -60,7 +71,7 @@ def fuse(lists: list[DataFrame], k: int = RRF_K, limit: int = FUSED_K) -> DataFr
 
 
 def hybrid(docs: DataFrame, queries: DataFrame, part: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Dense, lexical and fused lists of docs(part, doc_id, text, v) for queries(part, query_id, text, q)."""
+    """Dense, lexical and fused lists of docs(part, doc_id, text, v) for queries(part, query_id, text, q). A null v or q is in no dense list."""
     tokens = docs.select(part, "doc_id", search_tokens(F.col("text")).alias("tokens"))
     asked = queries.select(part, "query_id", search_tokens(F.col("text")).alias("tokens"))
     first = top(dense(docs.select(part, "doc_id", "v"), queries.select(part, "query_id", "q"), part), "query_id", "score", DENSE_K, "rank")
@@ -186,3 +197,35 @@ def parent_texts(chunks: DataFrame, depth: int = 3) -> DataFrame:
         same = F.col("v") == F.col("version")
         out = out.select("chunk_id", "version", F.when(same, F.col("p")).alias("next"), F.when(same, F.array_append("ancestors", F.col("t"))).otherwise(F.col("ancestors")).alias("ancestors"))
     return out.select("chunk_id", "ancestors")
+
+
+def allowed_documents(docs: DataFrame, types: list[str] | None = None, since: str | None = None, until: str | None = None, verified_only: bool = False) -> DataFrame:
+    """The documents a search may see: of one of types, published on a day in [since, until] (a document without a time is outside any window), and needing no verification where verified_only. docs(document_type, published_at, requires_verification); None does not filter.
+
+    It filters before statistics are taken, so ranks are those of what may be seen.
+    """
+    keep = F.lit(True)
+    if types is not None:
+        keep = keep & F.col("document_type").isin(types)
+    if since is not None:
+        keep = keep & (F.to_date("published_at") >= F.lit(since).cast("date"))
+    if until is not None:
+        keep = keep & (F.to_date("published_at") <= F.lit(until).cast("date"))
+    if verified_only:
+        keep = keep & ~F.coalesce(F.col("requires_verification"), F.lit(False))
+    return docs.filter(F.coalesce(keep, F.lit(False)))
+
+
+def retrieval_signals(reranked: DataFrame, returned: DataFrame) -> DataFrame:
+    """Per query of reranked(query_id): rows reranked and returned, the share that selection dropped, and distinct documents per row returned(query_id, parent_id); 0 where nothing is returned."""
+    before = reranked.groupBy("query_id").agg(F.count("*").alias("reranked"))
+    after = returned.groupBy("query_id").agg(F.count("*").alias("returned"), F.countDistinct("parent_id").alias("parents"))
+    j = before.join(after, "query_id", "left").withColumns({"returned": F.coalesce("returned", F.lit(0)), "parents": F.coalesce("parents", F.lit(0))})
+    diversity = F.when(F.col("returned") > 0, F.col("parents") / F.col("returned")).otherwise(0.0)
+    return j.select("query_id", "reranked", "returned", ((F.col("reranked") - F.col("returned")) / F.col("reranked")).alias("duplicate_rate"), diversity.alias("source_diversity"))
+
+
+def duplicate_ratio(results: DataFrame, k: int = RETURN_K) -> DataFrame:
+    """Per query of results(query_id, rank, content_hash): the share of the first k that repeats the content of another one."""
+    n = F.count("*")
+    return results.filter(F.col("rank") <= k).groupBy("query_id").agg(((n - F.countDistinct("content_hash")) / n).alias("duplicate_ratio"))

@@ -73,8 +73,8 @@ def sector_links(spark, sf_dir):
     return N.sector_links(docs, _entities(spark, sf_dir))
 
 
-LINKS_SQL = rf"""WITH {NEWS_SQL}, {ENTITIES_SQL}, low AS (SELECT doc_id, lower(text) AS text, list_distinct(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS toks FROM news),
-hits AS (SELECT doc_id AS event_id, sector_id, confidence, ordinal, reason FROM low JOIN entities ON CASE WHEN lower(term) LIKE '% %' THEN contains(text, lower(term)) AND list_contains(toks, split_part(lower(term), ' ', 1)) ELSE list_contains(toks, lower(term)) END)
+LINKS_SQL = f"""WITH {NEWS_SQL}, {ENTITIES_SQL}, low AS (SELECT doc_id, lower(text) AS text FROM news),
+hits AS (SELECT doc_id AS event_id, sector_id, confidence, ordinal, reason FROM low JOIN entities ON contains(text, lower(term)))
 SELECT event_id, sector_id, confidence, reason FROM hits QUALIFY row_number() OVER (PARTITION BY event_id, sector_id ORDER BY confidence DESC, ordinal, reason) = 1"""
 
 
@@ -235,7 +235,7 @@ def recent_research(spark, sf_dir):
     return ranked(_used(spark, sf_dir).filter((F.col("use") != N.EXCLUDED) & week), [F.asc("doc_id")], ["source"], 10, "ordinal").select("source", "doc_id", "use", "ordinal")
 
 
-RECENT_SQL = f"{_N} SELECT source, doc_id, use, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS ordinal FROM used WHERE use <> 'EXCLUDED' AND (published_us IS NULL OR published_us >= {CUTOFF_US - 86400000000}) QUALIFY ordinal <= 10"
+RECENT_SQL = f"{_N} SELECT source, doc_id, use, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS ordinal FROM used WHERE use <> 'EXCLUDED' AND (published_us IS NULL OR published_us >= {CUTOFF_US - 7 * 86400000000}) QUALIFY ordinal <= 10"
 
 
 def upserted(spark, sf_dir):

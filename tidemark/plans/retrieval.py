@@ -5,32 +5,38 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators import chunking as C
+from tidemark.operators import documents as D
 from tidemark.operators import retrieval as R
-from tidemark.sources.tables import read
+from tidemark.sources.steps import written
+from tidemark.sources.tables import NEWS_SQL, news_documents, read
 
 
 def _corpus(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
-    return docs.join(vectors, "doc_id").filter("label is not null")
+    """Every document; v is null where it has no vector. A search sees the documents of its language."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), "source")
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    return docs.join(vectors, "doc_id", "left")
+
+
+def _asked(docs):
+    """The documents whose id is divisible by 20, as questions with their whole text and vector."""
+    return docs.filter("doc_id % 20 = 0").select("lang", F.col("doc_id").alias("query_id"), "text", F.col("v").alias("q"))
 
 
 def _queries(spark, sf_dir):
-    """One query per label: its first vector, and the first twelve tokens of that document."""
-    first = _corpus(spark, sf_dir).groupBy("label").agg(F.min_by(F.struct("doc_id", "text", "v"), "doc_id").alias("q"))
-    text = F.array_join(F.slice(X.search_tokens(F.col("q.text")), 1, 12), " ")
-    return first.select("label", F.col("q.doc_id").alias("query_id"), text.alias("text"), F.col("q.v").alias("q"))
+    return _asked(_corpus(spark, sf_dir))
 
 
-_BASE = r"""corpus AS (SELECT doc_id, text, lang, source, embedding AS v, label, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS tokens FROM documents JOIN embeddings ON doc_id = vec_id WHERE label IS NOT NULL),
-q AS (SELECT label, doc_id AS query_id, tokens[1:12] AS qtokens, v AS qv FROM corpus QUALIFY row_number() OVER (PARTITION BY label ORDER BY doc_id) = 1)"""
-_DENSE = """densed AS (SELECT query_id, doc_id, list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(qv AS DOUBLE[])) AS score FROM corpus JOIN q USING (label)),
+_BASE = r"""corpus AS (SELECT doc_id, text, coalesce(lang, '') AS lang, source, embedding AS v, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS tokens FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+q AS (SELECT lang, doc_id AS query_id, text AS qtext, tokens AS qtokens, v AS qv FROM corpus WHERE doc_id % 20 = 0)"""
+_DENSE = """densed AS (SELECT query_id, doc_id, list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(qv AS DOUBLE[])) AS score FROM corpus JOIN q USING (lang) WHERE v IS NOT NULL AND qv IS NOT NULL),
 dlist AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM densed QUALIFY rank <= 40)"""
-_BM25 = """asked AS (SELECT label, query_id, term, count(*) AS asked FROM (SELECT label, query_id, unnest(qtokens) AS term FROM q) GROUP BY ALL),
-sz AS (SELECT label, count(*) AS n_docs, CAST(sum(len(tokens)) AS DOUBLE) / count(*) AS avgdl FROM corpus GROUP BY 1),
-tf AS (SELECT label, doc_id, dl, term, count(*) AS tf FROM (SELECT label, doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM corpus) GROUP BY ALL),
-df AS (SELECT label, term, count(*) AS df FROM tf GROUP BY 1, 2),
-lex AS (SELECT query_id, doc_id, sum(asked * ln(CAST(1 AS DOUBLE) + (n_docs - df + 0.5) / (df + 0.5)) * (tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl)))) AS score FROM tf JOIN asked USING (label, term) JOIN df USING (label, term) JOIN sz USING (label) GROUP BY 1, 2),
+_BM25 = """asked AS (SELECT lang, query_id, term, count(*) AS asked FROM (SELECT lang, query_id, unnest(qtokens) AS term FROM q) GROUP BY ALL),
+sz AS (SELECT lang, count(*) AS n_docs, CAST(sum(len(tokens)) AS DOUBLE) / count(*) AS avgdl FROM corpus GROUP BY 1),
+tf AS (SELECT lang, doc_id, dl, term, count(*) AS tf FROM (SELECT lang, doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM corpus) GROUP BY ALL),
+df AS (SELECT lang, term, count(*) AS df FROM tf GROUP BY 1, 2),
+lex AS (SELECT query_id, doc_id, sum(asked * ln(CAST(1 AS DOUBLE) + (n_docs - df + 0.5) / (df + 0.5)) * (tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl)))) AS score FROM tf JOIN asked USING (lang, term) JOIN df USING (lang, term) JOIN sz USING (lang) GROUP BY 1, 2),
 llist AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM lex WHERE score > 0 QUALIFY rank <= 40)"""
 _FUSED = """fsum AS (SELECT query_id, doc_id, sum(CAST(1.0 AS DOUBLE) / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM dlist UNION ALL SELECT query_id, doc_id, rank FROM llist) GROUP BY 1, 2),
 fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM fsum QUALIFY rank <= 50)"""
@@ -39,7 +45,7 @@ _R9 = lambda df: df.withColumn("score", F.round("score", 6))
 
 
 def _lists(spark, sf_dir):
-    return R.hybrid(_corpus(spark, sf_dir), _queries(spark, sf_dir), "label")
+    return R.hybrid(_corpus(spark, sf_dir), _queries(spark, sf_dir), "lang")
 
 
 def dense_rank(spark, sf_dir):
@@ -55,21 +61,23 @@ def hybrid_search(spark, sf_dir):
 
 
 def corpus_statistics(spark, sf_dir):
-    docs = _corpus(spark, sf_dir).select("label", "doc_id", X.search_tokens(F.col("text")).alias("tokens"))
-    size, df = R.corpus_statistics(docs, "label")
-    terms = df.groupBy("label").agg(F.count("*").alias("terms"), F.max("df").alias("max_df"))
-    return size.join(terms, "label").withColumn("avgdl", F.round("avgdl", 6))
+    docs = _corpus(spark, sf_dir).select("lang", "doc_id", X.search_tokens(F.col("text")).alias("tokens"))
+    size, df = R.corpus_statistics(docs, "lang")
+    terms = df.groupBy("lang").agg(F.count("*").alias("terms"), F.max("df").alias("max_df"))
+    return size.join(terms, "lang").withColumn("avgdl", F.round("avgdl", 6))
 
 
-STATS_SQL = f"WITH {_BASE}, {_BM25} SELECT label, n_docs, round(avgdl, 6) AS avgdl, terms, max_df FROM sz JOIN (SELECT label, count(*) AS terms, max(df) AS max_df FROM df GROUP BY 1) USING (label)"
+STATS_SQL = f"WITH {_BASE}, {_BM25} SELECT lang, n_docs, round(avgdl, 6) AS avgdl, terms, max_df FROM sz JOIN (SELECT lang, count(*) AS terms, max(df) AS max_df FROM df GROUP BY 1) USING (lang)"
 
 
 def _reranked(spark, sf_dir):
-    fused = _lists(spark, sf_dir)[2].withColumnRenamed("rank", "fused_rank").drop("score")
-    texts = _corpus(spark, sf_dir).select("doc_id", "text", "source", "lang")
-    asked = _queries(spark, sf_dir).select("query_id", F.col("text").alias("query"))
-    scored = fused.join(texts, "doc_id").join(asked, "query_id").withColumn("score", X.overlap_score(F.col("query"), F.col("text")))
-    return R.top(scored.drop("query"), "query_id", "score", 50, "position")
+    """The fused lists in order of bigram overlap, with the documents' bigrams, which are taken once a document."""
+    fused = _lists(spark, sf_dir)[2].select("query_id", "doc_id")
+    texts = written(_corpus(spark, sf_dir).select("doc_id", "source", "lang", X.bigrams(F.col("text")).alias("grams")), "rag-grams")
+    asked = texts.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("grams").alias("q"))
+    j = fused.join(texts, "doc_id").join(asked, "query_id")
+    score = F.when(F.size("q") == 0, 0.0).otherwise(F.size(F.array_intersect("q", "grams")).cast("double") / F.size("q").cast("double"))
+    return R.top(j.withColumn("score", score).drop("q"), "query_id", "score", 50, "position")
 
 
 def rerank(spark, sf_dir):
@@ -77,20 +85,20 @@ def rerank(spark, sf_dir):
 
 
 _GRAMS = lambda t: f"list_distinct(list_transform(range(1, greatest(length({t}), 2)), lambda i: substr({t}, i, 2)))"
-RERANK_SQL = rf"""{_ALL}, g AS (SELECT fused.query_id, fused.doc_id, regexp_replace(text, '\s+', '', 'g') AS t, regexp_replace(array_to_string(qtokens, ' '), '\s+', '', 'g') AS qt FROM fused JOIN corpus USING (doc_id) JOIN q ON q.query_id = fused.query_id),
+RERANK_SQL = rf"""{_ALL}, g AS (SELECT fused.query_id, fused.doc_id, regexp_replace(text, '\s+', '', 'g') AS t, regexp_replace(qtext, '\s+', '', 'g') AS qt FROM fused JOIN corpus USING (doc_id) JOIN q ON q.query_id = fused.query_id),
 s AS (SELECT query_id, doc_id, CAST(len(list_intersect({_GRAMS("qt")}, {_GRAMS("t")})) AS DOUBLE) / len({_GRAMS("qt")}) AS score FROM g)
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS position FROM s"""
 
 
 def diverse_selection(spark, sf_dir):
-    ranked = _reranked(spark, sf_dir).select("query_id", "doc_id", F.col("source").alias("parent_id"), F.col("lang").alias("section"), X.bigrams(F.col("text")).alias("grams"), "position")
+    ranked = _reranked(spark, sf_dir).select("query_id", "doc_id", F.col("source").alias("parent_id"), F.col("lang").alias("section"), "grams", "position")
     return R.diverse(ranked)
 
 
 def _truth(spark, sf_dir):
     good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", (F.col("doc_id") % 3 + 1).alias("grade"))
-    docs = _corpus(spark, sf_dir).select("label", "doc_id").join(good, "doc_id")
-    return docs.join(_queries(spark, sf_dir).select("label", "query_id"), "label").select("query_id", "doc_id", "grade")
+    docs = _corpus(spark, sf_dir).select("lang", "doc_id").join(good, "doc_id")
+    return docs.join(_queries(spark, sf_dir).select("lang", "query_id"), "lang").select("query_id", "doc_id", "grade")
 
 
 def retrieval_metrics(spark, sf_dir):
@@ -98,7 +106,7 @@ def retrieval_metrics(spark, sf_dir):
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
-METRICS_SQL = f"""{_ALL}, truth AS (SELECT query_id, corpus.doc_id, corpus.doc_id % 3 + 1 AS grade FROM corpus JOIN labels ON labels.doc_id = corpus.doc_id AND quality = 1 JOIN q USING (label)),
+METRICS_SQL = f"""{_ALL}, truth AS (SELECT query_id, corpus.doc_id, corpus.doc_id % 3 + 1 AS grade FROM corpus JOIN labels ON labels.doc_id = corpus.doc_id AND quality = 1 JOIN q USING (lang)),
 got AS (SELECT query_id, count(*) AS hits, min(rank) AS f, sum(grade / log2(rank + 1)) AS dcg FROM fused JOIN truth USING (query_id, doc_id) WHERE rank <= 12 GROUP BY 1),
 ideal AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN i <= 12 THEN grade / log2(i + 1) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS i FROM truth) GROUP BY 1)
 SELECT query_id, round(coalesce(hits, 0) / relevant, 6) AS recall, round(coalesce(CAST(1.0 AS DOUBLE) / f, 0), 6) AS mrr, round(coalesce(dcg / idcg, 0), 6) AS ndcg FROM ideal LEFT JOIN got USING (query_id)"""
@@ -171,7 +179,50 @@ SELECT c.chunk_id, array_to_string(list_filter([CASE WHEN p1.chunk_id IS NOT NUL
 FROM c LEFT JOIN c p1 ON p1.chunk_id = c.parent_id AND p1.version = c.version LEFT JOIN c p2 ON p2.chunk_id = p1.parent_id AND p2.version = c.version LEFT JOIN c p3 ON p3.chunk_id = p2.parent_id AND p3.version = c.version"""
 
 
+FILTER = {"types": ["PRIMARY", "REPUTABLE_MEDIA"], "since": "2024-01-01", "until": "2024-01-20", "verified_only": True}
+
+
+def filtered_search(spark, sf_dir):
+    """The twelve best documents of each question among those of the allowed types, days and without need of verification; statistics are those of the allowed ones."""
+    d = news_documents(spark, sf_dir).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), X.search_tokens(F.col("text")).alias("tokens"), F.col("source_grade").alias("document_type"), F.timestamp_micros("published_us").alias("published_at"), F.col("citation_url").isNull().alias("requires_verification"))
+    asked = d.filter("doc_id % 20 = 0").select("lang", F.col("doc_id").alias("query_id"), "tokens")
+    seen = R.allowed_documents(d, **FILTER).select("lang", "doc_id", "tokens")
+    return _R9(R.top(R.bm25(seen, asked, "lang"), "query_id", "score", 12, "rank"))
+
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')"
+FILTERED_SQL = f"""WITH {NEWS_SQL}, corpus AS (SELECT doc_id, coalesce(lang, '') AS lang, {_TOKENS} AS tokens FROM news WHERE source_grade IN ('PRIMARY', 'REPUTABLE_MEDIA') AND CAST(make_timestamp(published_us) AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-20' AND citation_url IS NOT NULL),
+q AS (SELECT coalesce(lang, '') AS lang, doc_id AS query_id, {_TOKENS} AS qtokens FROM documents WHERE doc_id % 20 = 0), {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM llist WHERE rank <= 12"""
+
+
+def duplicate_ratio(spark, sf_dir):
+    """The share of each question's first twelve fused results that repeats another one's text."""
+    texts = _corpus(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    return R.duplicate_ratio(_lists(spark, sf_dir)[2].join(texts, "doc_id")).withColumn("duplicate_ratio", F.round("duplicate_ratio", 9))
+
+
+DUPLICATE_SQL = f"{_ALL} SELECT query_id, round(CAST(count(*) - count(DISTINCT coalesce(text, '')) AS DOUBLE) / count(*), 9) AS duplicate_ratio FROM fused JOIN corpus USING (doc_id) WHERE rank <= 12 GROUP BY 1"
+
+
+def signals(spark, sf_dir):
+    """How much selection drops of each question's reranked list, and how many sources are left."""
+    reranked = written(_reranked(spark, sf_dir).select("query_id", "doc_id", F.col("source").alias("parent_id"), F.col("lang").alias("section"), "grams", "position"), "rag-reranked")
+    kept = R.diverse(reranked).join(reranked.select("query_id", "doc_id", "parent_id"), ["query_id", "doc_id"])
+    return R.retrieval_signals(reranked, kept)
+
+
+def chunks(spark, sf_dir):
+    """Structural chunks of every document."""
+    made = C.chunk(D.markdown_blocks(read(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["block"], s["start"], s["end"])), ",")
+    return made.select("doc_id", "section", "child", "role", "chunk_type", F.length("content").alias("chars"), spans.alias("spans"), "content_hash", "chunk_id", F.coalesce("parent_id", F.lit("")).alias("parent_id"))
+
+
 QUERIES = {
+    "rag_filtered_search": (filtered_search, FILTERED_SQL),
+    "rag_duplicate_ratio": (duplicate_ratio, DUPLICATE_SQL),
+    "rag_signals": (signals, None),
+    "rag_chunks": (chunks, None),
     "rag_dense_rank": (dense_rank, f"WITH {_BASE}, {_DENSE} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM dlist"),
     "rag_bm25_rank": (bm25_rank, f"WITH {_BASE}, {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM llist"),
     "rag_hybrid_search": (hybrid_search, f"{_ALL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM fused"),

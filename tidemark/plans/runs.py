@@ -61,8 +61,8 @@ def _data(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("run_id"), F.lit("data").alias("kind"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("requested_at"))
 
 
-RUNS_SQL = """content AS (SELECT o_orderkey AS run_id, 'content' AS kind, o_orderstatus AS status, o_orderdate AS requested_at, CAST(round(o_totalprice * 100) AS BIGINT) AS cost FROM orders WHERE o_orderkey % 2 = 0),
-runs AS (SELECT * FROM content UNION ALL SELECT o_orderkey, 'data', o_orderstatus, o_orderdate, NULL FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT run_id FROM content))"""
+RUNS_SQL = """content AS (SELECT o_orderkey AS run_id, 'content' AS kind, o_orderstatus AS status, o_orderdate AS requested_at, CAST(round(o_totalprice * 100) AS BIGINT) AS cost FROM orders WHERE o_orderpriority IS DISTINCT FROM '5-LOW'),
+runs AS (SELECT * FROM content UNION ALL SELECT o_orderkey, 'data', o_orderstatus, o_orderdate, NULL FROM orders WHERE o_orderpriority IS DISTINCT FROM '1-URGENT' AND o_orderkey NOT IN (SELECT run_id FROM content))"""
 
 
 def _runs(spark, sf_dir):
@@ -231,7 +231,7 @@ def progress_replay(spark, sf_dir):
 
 REPLAY_SQL = """WITH e AS (SELECT user_id, ts, event_id, event_type = 'purchase' AND value > 30 AS terminal FROM events),
 w AS (SELECT *, coalesce(sum(CASE WHEN terminal THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e)
-SELECT user_id, event_id, terminal, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS from_end FROM w WHERE ended = 0 QUALIFY from_end <= 16"""
+SELECT user_id, event_id, terminal, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS from_end FROM w WHERE ended = 0 QUALIFY from_end <= 256"""
 
 
 def due_schedules(spark, sf_dir):

@@ -30,7 +30,7 @@ def dedup(spark, sf_dir):
 
 def static_join(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
-    return S.run_to_end(S.enriched(_events(spark, sf_dir), c, "user_id"))
+    return S.segment_totals(S.run_to_end(S.enriched(_events(spark, sf_dir), c, "user_id")))
 
 
 def cutoff(spark, sf_dir):
@@ -39,7 +39,7 @@ def cutoff(spark, sf_dir):
 
 
 def progress(spark, sf_dir):
-    return S.run_to_end(S.progress_bus(_events(spark, sf_dir), 256), "update")
+    return S.run_to_end(S.progress_bus(_events(spark, sf_dir), 256), "update", key="user_id")
 
 
 _CENTS = "CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents"
@@ -50,7 +50,7 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 PROGRESS_SQL = """WITH e AS (SELECT user_id, ts, event_id, event_type = 'purchase' AND value > 30 AS terminal FROM events),
 w AS (SELECT *, coalesce(sum(CASE WHEN terminal THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM w WHERE ended = 0)
-SELECT user_id, bool_or(terminal) AS ended, count(*) AS kept, max(CASE WHEN b = m THEN event_id END) AS first_id, max(CASE WHEN b = 1 THEN event_id END) AS last_id FROM (SELECT *, max(b) OVER (PARTITION BY user_id) AS m FROM k WHERE b <= 16) GROUP BY 1"""
+SELECT user_id, bool_or(terminal) AS ended, count(*) AS kept, max(CASE WHEN b = m THEN event_id END) AS first_id, max(CASE WHEN b = 1 THEN event_id END) AS last_id FROM (SELECT *, max(b) OVER (PARTITION BY user_id) AS m FROM k WHERE b <= 256) GROUP BY 1"""
 
 QUERIES = {
     "stream_tumbling": (tumbling, TUMBLING_SQL),

@@ -7,7 +7,6 @@ the same plans run on.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,15 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
+from tidemark.sources.steps import shared_root
 
-def shared_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/streams/{uuid.uuid4().hex}"
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def event_stream(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
@@ -33,25 +26,31 @@ def event_stream(spark: SparkSession, path: str, late: str = "1 hour") -> DataFr
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def run_to_end(stream: DataFrame, mode: str = "complete", sink: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
-    """The stream's result after all there is has been read: each batch's output replaces (complete) or joins (append, update) a table in the shared folder.
+def run_to_end(stream: DataFrame, mode: str = "complete", sink: Callable[[DataFrame, int, str], None] | None = None, key: str | None = None, folder: str | None = None) -> DataFrame:
+    """The stream's result after all there is has been read: each batch's output replaces (complete) or joins (append, update) a table in folder.
 
     A batch writes to a place of its own number, so a batch that is repeated after a failure
-    overwrites itself and nothing is written twice.
+    overwrites itself and nothing is written twice. With the same folder a later run goes on where
+    the last one ended; without one, a new place in the shared folder is used. key (update mode): of a
+    key's rows the one of the latest batch counts.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    at = folder or f"{shared_root(spark)}/streams/{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         if sink is not None:
-            sink(batch, number, f"{folder}/out")
+            sink(batch, number, f"{at}/out")
         else:
-            batch.write.mode("overwrite").parquet(f"{folder}/out/batch=0" if mode == "complete" else f"{folder}/out/batch={number}")
+            batch.write.mode("overwrite").parquet(f"{at}/out/batch=0" if mode == "complete" else f"{at}/out/batch={number}")
 
-    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/batch=-1")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{at}/out/batch=-1")
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    out = spark.read.parquet(f"{at}/out")
+    if key is None:
+        return out.drop("batch")
+    latest = out.groupBy(key).agg(F.max_by(F.struct(*[c for c in out.columns if c not in (key, "batch")]), "batch").alias("r"))
+    return latest.select(key, "r.*")
 
 
 def window_totals(events: DataFrame, size: str, slide: str | None = None) -> DataFrame:
@@ -74,8 +73,13 @@ def first_sightings(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def enriched(events: DataFrame, static: DataFrame, key: str) -> DataFrame:
-    """Events joined to a static table, totals per segment."""
-    return events.join(static, key).groupBy("segment").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds") if not events.isStreaming else F.approx_count_distinct("event_type").alias("kinds"))
+    """Events joined to a static table, counted per segment and type; the state holds one row of each."""
+    return events.join(static, key).groupBy("segment", "event_type").agg(F.count("*").alias("n"))
+
+
+def segment_totals(counts: DataFrame) -> DataFrame:
+    """Events and distinct types per segment of what enriched has counted."""
+    return counts.groupBy("segment").agg(F.sum("n").alias("n"), F.countDistinct("event_type").alias("kinds"))
 
 
 def progress_bus(events: DataFrame, limit: int) -> DataFrame:
