@@ -117,7 +117,7 @@ def test_status_fold(spark):
 def test_sector_links_prefer_confidence(spark):
     events = spark.createDataFrame([(1, "Alpha beta of the X"), (2, "gamma"), (3, None)], "event_id long, text string")
     ents = spark.createDataFrame([("S", "alpha", 1, 2, "term"), ("S", "of the", 3, 0, "code"), ("T", "alph", 2, 1, "name")], "sector_id string, term string, confidence int, ordinal int, reason string")
-    assert [(r.event_id, r.sector_id, r.confidence, r.reason) for r in N.sector_links(events, ents).collect()] == [(1, "S", 3, "code")]
+    assert [(r.event_id, r.sector_id, r.confidence, r.reason) for r in N.sector_links(events, ents).orderBy("sector_id").collect()] == [(1, "S", 3, "code"), (1, "T", 2, "name")]  # inside a longer word, too
 
 
 def test_upsert_and_insert(spark):
