@@ -73,7 +73,7 @@ STATS_SQL = f"WITH {_BASE}, {_BM25} SELECT lang, n_docs, round(avgdl, 6) AS avgd
 def _reranked(spark, sf_dir):
     """The fused lists in order of bigram overlap, with the documents' bigrams, which are taken once a document."""
     fused = _lists(spark, sf_dir)[2].select("query_id", "doc_id")
-    texts = written(_corpus(spark, sf_dir).select("doc_id", "source", "lang", X.bigrams(F.col("text")).alias("grams")), "rag-grams")
+    texts = written(_corpus(spark, sf_dir).select("doc_id", "source", "lang", X.bigrams(F.coalesce("text", F.lit(""))).alias("grams")), "rag-grams")
     asked = texts.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("grams").alias("q"))
     j = fused.join(texts, "doc_id").join(asked, "query_id")
     score = F.when(F.size("q") == 0, 0.0).otherwise(F.size(F.array_intersect("q", "grams")).cast("double") / F.size("q").cast("double"))
@@ -85,8 +85,9 @@ def rerank(spark, sf_dir):
 
 
 _GRAMS = lambda t: f"list_distinct(list_transform(range(1, greatest(length({t}), 2)), lambda i: substr({t}, i, 2)))"
-RERANK_SQL = rf"""{_ALL}, g AS (SELECT fused.query_id, fused.doc_id, regexp_replace(text, '\s+', '', 'g') AS t, regexp_replace(qtext, '\s+', '', 'g') AS qt FROM fused JOIN corpus USING (doc_id) JOIN q ON q.query_id = fused.query_id),
-s AS (SELECT query_id, doc_id, CAST(len(list_intersect({_GRAMS("qt")}, {_GRAMS("t")})) AS DOUBLE) / len({_GRAMS("qt")}) AS score FROM g)
+RERANK_SQL = rf"""{_ALL}, plain AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS t FROM corpus),
+grams AS MATERIALIZED (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE {_GRAMS("t")} END AS g FROM plain),
+s AS (SELECT fused.query_id, fused.doc_id, CASE WHEN len(a.g) = 0 THEN 0.0 ELSE CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / len(a.g) END AS score FROM fused JOIN grams a ON a.doc_id = fused.query_id JOIN grams b ON b.doc_id = fused.doc_id)
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS position FROM s"""
 
 
