@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,17 +53,34 @@ def content_kind(summary: Column, source: Column, flash_source: str) -> Column:
     return F.when(has & (source == flash_source), "FLASH").when(has, "SUMMARY").otherwise("LINK_ONLY")
 
 
-def event_id(hashes: Column) -> Column:
-    """An id made of the sorted content hashes of a cluster."""
-    return F.concat(F.lit("event-"), F.substring(F.sha2(F.array_join(F.array_sort(hashes), "|"), 256), 1, 24))
+def event_ids(clusters: DataFrame, content_hash: str, size: str) -> DataFrame:
+    """clusters with event_id: made of the content hashes of all members, here size times the same one. Hashed piece by piece, so a large cluster needs no long string."""
+
+    @F.pandas_udf("string")
+    def named(h: pd.Series, n: pd.Series) -> pd.Series:
+        def one(value: str, times: int) -> str:
+            digest, piece = hashlib.sha256(value.encode()), f"|{value}".encode()
+            block = piece * min(times - 1, 1000)
+            for _ in range((times - 1) // 1000):
+                digest.update(block)
+            digest.update(piece * ((times - 1) % 1000))
+            return "event-" + digest.hexdigest()[:24]
+
+        return pd.Series([one(v, int(t)) for v, t in zip(h, n, strict=True)], dtype=object)
+
+    return clusters.withColumn("event_id", named(F.col(content_hash), F.col(size)))
 
 
 def exact_clusters(docs: DataFrame) -> DataFrame:
-    """Clusters of equal content: event_id, doc_ids by publication (null last), title and time of the first, size."""
-    item = F.struct(F.col("published_us").isNull().alias("late"), "published_us", "doc_id", "title")
-    g = docs.groupBy("content_hash").agg(F.array_sort(F.collect_list(item)).alias("m"), F.count("*").alias("size"))
-    hashes = F.transform(F.col("m"), lambda x: F.col("content_hash"))
-    return g.select(event_id(hashes).alias("event_id"), F.col("m")[0]["title"].alias("title"), F.col("m")[0]["published_us"].alias("first_us"), F.transform("m", lambda x: x["doc_id"]).alias("doc_ids"), "size")
+    """Clusters of equal content, one row each: content_hash, event_id, size, and title and time of the first by publication (null last), then id."""
+    order = F.struct(F.col("published_us").isNull().alias("late"), "published_us", "doc_id", "title")
+    g = docs.groupBy("content_hash").agg(F.min(order).alias("m"), F.count("*").alias("size"))
+    return event_ids(g, "content_hash", "size").select("content_hash", "event_id", F.col("m.title").alias("title"), F.col("m.published_us").alias("first_us"), F.col("m.doc_id").alias("first_id"), "size")
+
+
+def cluster_members(docs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Every document with its cluster: a row a member, so no cluster is gathered; leads marks the first one."""
+    return docs.select("doc_id", "published_us", "content_hash").join(clusters, "content_hash").withColumn("leads", F.col("doc_id") == F.col("first_id"))
 
 
 def similar_title_clusters(docs: DataFrame, block: list[str], ratio: float = 0.8) -> DataFrame:

@@ -73,10 +73,9 @@ def replace_bridge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def ordered_children(parents: DataFrame, bridge: DataFrame, children: DataFrame, parent: str, child: str, order: list[Column], fields: list[str]) -> DataFrame:
-    """parents with children: their bridge children that exist, as an ordered array of structs. Children are gathered per parent."""
-    numbered = bridge.join(children, child).withColumn("_o", F.row_number().over(Window.partitionBy(parent).orderBy(*order)))
-    grouped = numbered.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct("_o", child, *fields))).alias("children"))
-    return parents.join(grouped, parent, "left").withColumn("children", F.transform("children", lambda c: F.struct(c[child].alias(child), *[c[f].alias(f) for f in fields])))
+    """A row for each bridge child that exists, with its place (from 1) among those of its parent and its fields; a parent without any has one row with place 0. No parent's children are gathered."""
+    placed = bridge.join(children, child).withColumn("place", F.row_number().over(Window.partitionBy(parent).orderBy(*order)))
+    return parents.join(placed.select(parent, child, "place", *fields), parent, "left").withColumn("place", F.coalesce("place", F.lit(0)))
 
 
 def validate_selection(selection: DataFrame, candidates: DataFrame, run: str, key: str, least: int = 3, most: int = 12) -> DataFrame:

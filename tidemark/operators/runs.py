@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,19 +80,28 @@ def ledger_totals(calls: DataFrame, key: str) -> DataFrame:
 
 
 def admitted(requests: DataFrame, key: str, limit: int) -> DataFrame:
-    """requests(key, ordinal, amount) with admitted and used: in order, a request is admitted when it still fits under limit; refused ones use nothing. One fold per key."""
-    items = F.array_sort(F.collect_list(F.struct("ordinal", "amount")))
-    item = "array<struct<ordinal:bigint,admitted:boolean,used:bigint>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(item).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = a["used"] + x["amount"] <= limit
-        used = F.when(fits, a["used"] + x["amount"]).otherwise(a["used"])
-        row = F.struct(x["ordinal"].cast("bigint").alias("ordinal"), fits.alias("admitted"), used.alias("used"))
-        return F.struct(used.cast("bigint").alias("used"), F.concat(a["out"], F.array(row)).cast(item).alias("out"))
-
-    folded = requests.groupBy(key).agg(items.alias("i")).select(key, F.explode(F.aggregate("i", zero, step)["out"]).alias("r"))
-    return folded.select(key, "r.ordinal", "r.admitted", "r.used")
+    """requests(key, ordinal, amount) with admitted and used: in order, a request is admitted when it still fits under limit; refused ones use nothing, a null amount is null and uses nothing.
+
+    Each decision needs the one before, so a key's requests pass in order through one task; only the
+    amount used is kept, not the requests.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = object(), 0
+        for batch in batches:
+            admits, sums = [], []
+            for k, amount in zip(batch[0].to_pylist(), batch[2].to_pylist(), strict=True):
+                if k != last:
+                    last, used = k, 0
+                fits = None if amount is None else used + amount <= limit
+                used += amount if fits else 0
+                admits.append(fits)
+                sums.append(used)
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(admits, pa.bool_()), pa.array(sums, pa.int64())], [key, "ordinal", "admitted", "used"])
+
+    rows = requests.select(key, F.col("ordinal").cast("long").alias("ordinal"), F.col("amount").cast("long").alias("amount"))
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.repartition(key).sortWithinPartitions(key, "ordinal").mapInArrow(walk, f"`{key}` {kind}, ordinal long, admitted boolean, used long")
 
 
 def reconcile(expected: DataFrame, present: DataFrame, key: str) -> DataFrame:

@@ -97,12 +97,14 @@ GOVERNANCE_SQL = "SELECT doc_id, terms FROM (SELECT doc_id, array_to_string(list
 
 
 def corpus_fingerprint(spark, sf_dir):
-    """A digest per source of the hashes of all its documents."""
-    d = read(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("h"))
-    return d.groupBy("source").agg(X.fingerprint(F.collect_list("h")).alias("fingerprint"), F.count("*").alias("n"))
+    """A digest per source of the hashes of all its documents; null texts count as empty ones."""
+    d = read(spark, sf_dir, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    return D.ranged_digest(d, "source", "h")
 
 
-FINGERPRINT_SQL = "SELECT source, sha256(string_agg(sha256(text), chr(10) ORDER BY sha256(text))) AS fingerprint, count(*) AS n FROM documents GROUP BY 1"
+FINGERPRINT_SQL = """WITH l AS (SELECT source, sha256(coalesce(text, '')) AS h, count(*) AS times FROM documents GROUP BY 1, 2),
+r AS (SELECT source, substr(h, 1, 3) AS range, sha256(string_agg(h || ' ' || times, chr(10) ORDER BY h)) AS digest, sum(times) AS n FROM l GROUP BY 1, 2)
+SELECT source, sha256(string_agg(digest, chr(10) ORDER BY range)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1"""
 
 QUERIES = {
     "docs_articles": (articles, None),

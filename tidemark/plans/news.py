@@ -37,13 +37,15 @@ TITLES_SQL = rf"WITH {NEWS_SQL} SELECT doc_id, lower(regexp_replace(title, '[^\p
 
 
 def exact_events(spark, sf_dir):
-    c = N.exact_clusters(news_documents(spark, sf_dir))
-    return c.select("event_id", "title", F.coalesce("first_us", F.lit(-1)).alias("first_us"), F.array_join("doc_ids", ",").alias("doc_ids"), "size")
+    """Every document with the event of its exact copies."""
+    d = news_documents(spark, sf_dir)
+    out = N.cluster_members(d, N.exact_clusters(d))
+    return out.select("doc_id", "event_id", "title", F.coalesce("first_us", F.lit(-1)).alias("first_us"), "size", "leads")
 
 
-EVENTS_SQL = f"""WITH {NEWS_SQL}, g AS (SELECT content_hash, count(*) AS size, string_agg(content_hash, '|') AS hashes, string_agg(doc_id, ',' ORDER BY published_us IS NULL, published_us, doc_id) AS doc_ids,
-first(title ORDER BY published_us IS NULL, published_us, doc_id) AS title, first(published_us ORDER BY published_us IS NULL, published_us, doc_id) AS first_us FROM news GROUP BY 1)
-SELECT 'event-' || substr(sha256(hashes), 1, 24) AS event_id, title, coalesce(first_us, -1) AS first_us, doc_ids, size FROM g"""
+_FIRST = "ORDER BY published_us IS NULL, published_us, doc_id"
+EVENTS_SQL = f"""WITH {NEWS_SQL}, g AS (SELECT content_hash, count(*) AS size, string_agg(content_hash, '|') AS hashes, first(title {_FIRST}) AS title, first(published_us {_FIRST}) AS first_us, first(doc_id {_FIRST}) AS first_id FROM news GROUP BY 1)
+SELECT doc_id, 'event-' || substr(sha256(hashes), 1, 24) AS event_id, g.title, coalesce(first_us, -1) AS first_us, size, doc_id = first_id AS leads FROM news JOIN g USING (content_hash)"""
 
 
 def similar_titles(spark, sf_dir):
@@ -176,7 +178,7 @@ def rates(spark, sf_dir):
     return events.join(links).select("events", "docs", "links", F.when(d > 0, 1.0 - e / d).otherwise(0.0).alias("dedup_rate"), F.when(e > 0, n / e).otherwise(0.0).alias("mapping_rate"))
 
 
-RATES_SQL = f"""WITH l AS ({LINKS_SQL}), e AS ({EVENTS_SQL}), s AS (SELECT count(*) AS events, CAST(sum(size) AS BIGINT) AS docs FROM e), k AS (SELECT count(*) AS links FROM l)
+RATES_SQL = f"""WITH l AS ({LINKS_SQL}), e AS ({EVENTS_SQL}), s AS (SELECT count(*) AS events, CAST(sum(size) AS BIGINT) AS docs FROM e WHERE leads), k AS (SELECT count(*) AS links FROM l)
 SELECT events, docs, links, 1.0 - CAST(events AS DOUBLE) / CAST(docs AS DOUBLE) AS dedup_rate, CAST(links AS DOUBLE) / CAST(events AS DOUBLE) AS mapping_rate FROM s, k"""
 
 

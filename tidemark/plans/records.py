@@ -55,11 +55,10 @@ def evidence_tree(spark, sf_dir):
     d = news_documents(spark, sf_dir)
     stories = d.select("story").distinct()
     order = [F.col("citation_url").isNull(), F.desc_nulls_last("published_us"), F.asc("doc_id")]
-    out = P.ordered_children(stories, d.select("story", "doc_id"), d.select("doc_id", "citation_url", "published_us", "source_grade"), "story", "doc_id", order, ["source_grade"])
-    return out.select("story", F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["doc_id"], c["source_grade"])), ",").alias("documents"))
+    return P.ordered_children(stories, d.select("story", "doc_id"), d.select("doc_id", "citation_url", "published_us", "source_grade"), "story", "doc_id", order, ["source_grade"])
 
 
-TREE_SQL = f"WITH {NEWS_SQL} SELECT story, string_agg(doc_id || ':' || source_grade, ',' ORDER BY citation_url IS NULL, published_us DESC NULLS LAST, doc_id) AS documents FROM news GROUP BY 1"
+TREE_SQL = f"WITH {NEWS_SQL} SELECT story, doc_id, CAST(row_number() OVER (PARTITION BY story ORDER BY citation_url IS NULL, published_us DESC NULLS LAST, doc_id) AS INT) AS place, source_grade FROM news"
 
 
 def selections(spark, sf_dir):

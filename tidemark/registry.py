@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import claims, documents, market, news, records, retrieval, runs, streams, workbench
+from tidemark.plans import claims, documents, intake, market, news, records, retrieval, runs, streams, tasks, workbench
 
 FLAGSHIP = "market_candidate_rank"
-_ALL = {**market.QUERIES, **news.QUERIES, **retrieval.QUERIES, **claims.QUERIES, **runs.QUERIES, **documents.QUERIES, **streams.QUERIES, **records.QUERIES, **workbench.QUERIES}
+_ALL = {**market.QUERIES, **news.QUERIES, **retrieval.QUERIES, **claims.QUERIES, **runs.QUERIES, **documents.QUERIES, **streams.QUERIES, **records.QUERIES, **workbench.QUERIES, **intake.QUERIES, **tasks.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
