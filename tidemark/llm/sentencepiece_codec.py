@@ -17,6 +17,7 @@ Words that a worker has met before are looked up instead; that memory is bounded
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 from array import array
@@ -262,13 +263,20 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def worker_encoder(vocabulary: Vocabulary) -> Encoder:
-    """This Python worker's encoder of a vocabulary; one is kept, so later tasks find its automaton and pair checks."""
+    """This Python worker's encoder of a vocabulary; one is kept until release_encoders."""
     if vocabulary.name not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[vocabulary.name] = Encoder(vocabulary)
     return _ENCODERS[vocabulary.name]
 
 
+def release_encoders() -> None:
+    """Gives back what encoders hold, as workers live on and serve other stages."""
+    _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def encode_batch(column: pa.Array, encoder: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids of all texts in a row, where each text's ids begin and the last end, score of each text's path)."""
     words, bounds = marked_words(column, encoder.v.dummy_prefix)
@@ -354,6 +362,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decoded:
             if decoded:
                 made.append(decode_batch(ids, bounds, pieces, shared.value.dummy_prefix))
             yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(f.name for f in more)])
+        del encoder
+        release_encoders()
 
     return out.mapInArrow(run, schema)
 
