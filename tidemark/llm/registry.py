@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, cover_tree, language_id, minhash, mixing, ogg, quality, sentencepiece_codec, url_filter, warc
+from tidemark.llm import chat, cover_tree, fim, language_id, minhash, mixing, ogg, periodic_runs, quality, rotated_codes, sentencepiece_codec, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,18 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_language_id": language_id.op9_language_id,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_rotated_codes": rotated_codes.op11_rotated_codes,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
-ORACLES = {"op2_warc": warc.op2_sql(), "op3_minhash": minhash.op3_sql(), "op4_cover_tree": cover_tree.op4_sql(), "op6_url_filter": url_filter.op6_sql(), "op10_chat_format": chat.op10_sql()}
+ORACLES = {
+    "op2_warc": warc.op2_sql(),
+    "op3_minhash": minhash.op3_sql(),
+    "op4_cover_tree": cover_tree.op4_sql(),
+    "op6_url_filter": url_filter.op6_sql(),
+    "op10_chat_format": chat.op10_sql(),
+    "op11_rotated_codes": rotated_codes.op11_sql(),
+    "op12_periodic_runs": periodic_runs.op12_sql(),
+    "op13_fill_in_middle": fim.op13_sql(),
+}
