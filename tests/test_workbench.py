@@ -15,47 +15,42 @@ from tidemark.operators import workbench as W
 from tidemark.streaming import events as S
 
 
-def slow_pack(tokens, lead, p, overlap=True):
-    """The greedy walk over lists of piece numbers."""
-    groups, current, fresh = [], [], 0
-    count = lambda x: lead + sum(tokens[i] for i in x)
-
-    def tail(of):
-        out = []
-        for i in reversed(of):
-            if not overlap or sum(tokens[j] for j in out) >= p.overlap:
-                break
-            out.insert(0, i)
-        return out
-
-    for i in range(len(tokens)):
-        if current and count([*current, i]) > p.cap:
-            if fresh:
-                groups.append(current)
-            current, fresh = tail(current), 0
-            if count([*current, i]) > p.cap:
-                current = []
-        current, fresh = [*current, i], fresh + 1
-        if overlap and count(current) >= p.target:
-            groups.append(current)
-            current, fresh = tail(current), 0
-    if fresh:
-        whole = [*groups[-1], *current[-fresh:]] if groups else None
-        if overlap and whole and count(current) < p.least and count(whole) <= p.cap:
-            groups[-1] = whole
-        else:
-            groups.append(current)
-    return [(g[0], g[-1] + 1) for g in groups]
-
-
-def test_packing_matches_the_plain_walk():
+def test_packing_keeps_its_promises():
     rng = random.Random(1)
-    p = C.Policy(least=30, target=40, cap=70, overlap=7)
-    for _ in range(400):
-        tokens = [rng.choice([1, 3, 5, 9, 20, 45, 80]) for _ in range(rng.randint(0, 25))]
+    for _ in range(600):
+        p = C.Policy(least=30, target=40, cap=rng.choice([40, 50, 70]), overlap=rng.choice([0, 7, 20]))
+        tokens = [rng.choice([1, 3, 5, 9, 20, 45, 80]) for _ in range(rng.randint(1, 25))]
         lead, overlap = rng.choice([0, 4, 30]), rng.random() < 0.7
-        assert C.pack(tokens, lead, p, overlap) == slow_pack(tokens, lead, p, overlap)
+        ranges = C.pack(tokens, lead, p, overlap)
+        weight = lambda a, b, tokens=tokens, lead=lead: lead + sum(tokens[a:b])
+        assert ranges[0][0] == 0 and ranges[-1][1] == len(tokens)
+        for a, b in ranges:
+            assert a < b and (weight(a, b) <= p.cap or b - a == 1)  # only a lone piece may pass the cap
+        for (a, b), (c, d) in zip(ranges, ranges[1:], strict=False):
+            assert a <= c <= b < d  # in order, nothing left out, something new in each
+            if not overlap:
+                assert c == b and weight(a, d if d - b == 1 else b + 1) > p.cap  # closed by the cap alone
+                continue
+            assert weight(a, b) >= p.target or weight(a, b + 1) > p.cap  # no range closes early
+            assert c == b or sum(tokens[c:b]) >= p.overlap or c == a  # what is shared holds the overlap
+            assert c == b or sum(tokens[c + 1 : b]) < p.overlap  # and not a piece more
+            if c == b and p.overlap and a < b:  # none is shared where it leaves no room
+                back = next((x for x in range(b - 1, a - 1, -1) if sum(tokens[x:b]) >= p.overlap), a)
+                assert weight(back, b + 1) > p.cap
+        if overlap and len(ranges) > 1:
+            (a, b), (c, d) = ranges[-2:]
+            assert weight(c, d) >= p.least or weight(a, d) > p.cap  # a short rest that fits has been merged
+
+
+def test_packing_of_worked_cases():
+    p = C.Policy(least=30, target=40, cap=70, overlap=7)
     assert C.pack([], 3, p) == [] and C.pack([900], 3, p) == [(0, 1)]
+    assert C.pack([20, 20, 20, 20], 0, p) == [(0, 2), (1, 3), (2, 4)]  # 40, then 20 shared and 20 new
+    assert C.pack([39, 39], 0, p) == [(0, 1), (1, 2)]  # 78 passes the cap, and a shared 39 leaves no room
+    assert C.pack([30, 10, 5], 0, p) == [(0, 3)]  # the rest of 10 + 5 is short and 45 is within the cap
+    assert C.pack([30, 40, 5], 0, p) == [(0, 2), (1, 3)]  # 75 would pass the cap, 40 + 5 reaches the target
+    assert C.pack([50, 15, 10], 0, p) == [(0, 1), (1, 3)]  # shared 50 + 15 reaches the target at 65, but 50 begins again
+    assert C.pack([30, 30, 30], 10, p, overlap=False) == [(0, 2), (2, 3)]
 
 
 def test_chunks_of_structured_documents(spark):

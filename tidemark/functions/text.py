@@ -54,8 +54,9 @@ def sentences(text: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Tokens for lexical search: lower-cased runs; a run with CJK gives its bigrams."""
-    runs = F.filter(F.split(F.lower(text), r"\s+"), lambda s: s != "")
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(CJK), bigrams(r)).otherwise(F.array(r))))
+    runs = F.array_remove(F.split(F.lower(text), r"\s+"), "")
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(CJK), bigrams(r)).otherwise(F.array(r))))
+    return F.when(text.rlike(CJK), mixed).otherwise(runs)  # a text without CJK is only split
 
 
 def numbers(text: Column) -> Column:

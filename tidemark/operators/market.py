@@ -18,15 +18,23 @@ def breadth_ratio(advancers: Column, decliners: Column) -> Column:
     return F.when(total == 0, 0.5).otherwise(advancers.cast("double") / total)
 
 
-def available_fields(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """keys and available: the optional fields that some row of the snapshot has, in the order given."""
+#: What a names-only provider has where its snapshot declares nothing (fixed values).
+NAMES_ONLY = ("id", "name")
+
+
+def available_fields(rows: DataFrame, keys: list[str], fields: list[str], names_only: Column | None = None) -> DataFrame:
+    """keys and available: the optional fields that some row of the snapshot has, in the order given. names_only: whether a row comes from a provider whose snapshots have NAMES_ONLY where nothing is declared; others then have none."""
     seen = [F.when(F.bool_or(F.col(f).isNotNull()), F.lit(f)) for f in fields]
-    return rows.groupBy(*keys).agg(F.array_compact(F.array(*seen)).alias("available"))
+    found = F.array_compact(F.array(*seen))
+    if names_only is not None:
+        bare = F.array(*map(F.lit, NAMES_ONLY))
+        return rows.groupBy(*keys).agg(found.alias("found"), F.coalesce(F.bool_and(names_only), F.lit(False)).alias("bare")).select(*keys, F.when((F.size("found") == 0) & F.col("bare"), bare).otherwise(F.col("found")).alias("available"))
+    return rows.groupBy(*keys).agg(found.alias("available"))
 
 
 def masked(value: Column, field: str, available: Column) -> Column:
-    """A value only where its snapshot declares the field; an undeclared snapshot (no fields) shows everything."""
-    return F.when((F.size(available) == 0) | F.array_contains(available, field), value)
+    """A value only where its snapshot declares the field; a snapshot that declares none shows nothing."""
+    return F.when(F.array_contains(available, field), value)
 
 
 def composite_scores(universe: DataFrame, hot: DataFrame, keys: list[str], dimensions: tuple[str, ...] = ("pct_change", "turnover_rate", "breadth")) -> DataFrame:
@@ -73,11 +81,15 @@ def ranked(df: DataFrame, order: list[Column], by: list[str] | None = None, limi
 
 
 def radar_score() -> Column:
-    """|pct| + |breadth - 0.5| + turnover / 10, the diagnostic order."""
-    return F.abs("pct_change") + F.abs(F.col("breadth_ratio") - 0.5) + F.coalesce("turnover_rate", F.lit(0.0)) / 10
+    """|pct| + |breadth - 0.5| + |leader's pct| / 10 + turnover / 10, the diagnostic order; a missing leader or turnover counts 0."""
+    return F.abs("pct_change") + F.abs(F.col("breadth_ratio") - 0.5) + F.abs(F.coalesce("leader_pct_change", F.lit(0.0))) / 10 + F.coalesce("turnover_rate", F.lit(0.0)) / 10
+
+
+#: Fewest sectors of a usable universe by kind (fixed values).
+LEAST_SECTORS = {"INDUSTRY": 50, "CONCEPT": 100}
 
 
-def universe_gate(universe: DataFrame, keys: list[str], least: dict[str, int]) -> DataFrame:
+def universe_gate(universe: DataFrame, keys: list[str], least: dict[str, int] = LEAST_SECTORS) -> DataFrame:
     """Per universe: n, status NORMAL or BLOCKED and the reason when it has fewer rows than its kind needs."""
     need = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in least.items()], F.lit(0))
     out = universe.groupBy(*keys).agg(F.count("*").alias("n"))

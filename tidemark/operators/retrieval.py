@@ -7,60 +7,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.text import bigrams, cosine, search_tokens
-from tidemark.sources.steps import written
+from tidemark.functions.text import bigrams, search_tokens
+from tidemark.operators.search import bm25, dense, top
 
-#: BM25 parameters, list sizes, the rank constant of fusion.
-K1, B = 1.2, 0.75
-#: Rows of query terms that may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: List sizes, the rank constant of fusion.
 DENSE_K, BM25_K, FUSED_K, RETURN_K, PER_DOCUMENT, RRF_K = 40, 40, 50, 12, 4, 60
 
 
 def corpus_statistics(docs: DataFrame, part: str) -> tuple[DataFrame, DataFrame]:
     """(documents and mean length per part, documents of each term per part) of docs(part, doc_id, tokens)."""
     size = docs.groupBy(part).agg(F.count("*").alias("n_docs"), (F.sum(F.size("tokens")).cast("double") / F.count("*").cast("double")).alias("avgdl"))
-    df = docs.select(part, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(part, "term").agg(F.count("*").alias("df"))
+    df = docs.select(part, F.explode_outer(F.array_distinct("tokens")).alias("term")).filter("term is not null").groupBy(part, "term").agg(F.count("*").alias("df"))
     return size, df
 
 
-def bm25(docs: DataFrame, queries: DataFrame, part: str) -> DataFrame:
-    """(query_id, doc_id, score) with score > 0 of docs(part, doc_id, tokens) for queries(part, query_id, tokens).
-
-    Statistics are those of the part, the documents a query may see. Repeated query tokens count
-    again. Only terms that some query holds are counted; their counts per document are written once
-    and read for the document frequencies and for the scores.
-    """
-    asked = queries.select(part, "query_id", F.explode("tokens").alias("term")).groupBy(part, "query_id", "term").agg(F.count("*").alias("asked"))
-    asked = written(asked, "bm25-asked")
-    docs = docs.repartition("doc_id")  # a document's counts stay in one partition, so its scores add up before they are shuffled
-    size = docs.groupBy(part).agg(F.count("*").alias("n_docs"), (F.sum(F.size("tokens")).cast("double") / F.count("*").cast("double")).alias("avgdl"))
-    terms = docs.select(part, "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    tf = terms.groupBy(part, "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    wanted = written(asked.select(part, "term").distinct(), "bm25-terms")
-    n_wanted, n_asked = wanted.count(), asked.count()
-    tf = written(tf.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, [part, "term"], "left_semi"), "bm25-counts")
-    df = tf.groupBy(part, "term").agg(F.count("*").alias("df"))
-    rated = asked.join(df, [part, "term"]).join(size, part)
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rated = rated.groupBy(part, "term", "avgdl").agg(F.collect_list(F.struct("query_id", (F.col("asked") * idf).alias("gain"))).alias("by")) if n_asked <= BROADCAST_ROWS else rated.select(part, "term", "avgdl", F.array(F.struct("query_id", (F.col("asked") * idf).alias("gain"))).alias("by"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    met = tf.join(F.broadcast(rated) if n_asked <= BROADCAST_ROWS else rated, [part, "term"]).select("doc_id", weight.alias("w"), F.explode("by").alias("q"))
-    return met.groupBy(F.col("q.query_id").alias("query_id"), "doc_id").agg(F.sum(F.col("q.gain") * F.col("w")).alias("score")).filter("score > 0")
-
-
-def top(df: DataFrame, by: str, score: str, k: int, into: str) -> DataFrame:
-    """The k best rows per by: score descending (to nine places), then doc_id."""
-    w = Window.partitionBy(by).orderBy(F.desc(F.round(score, 9)), "doc_id")
-    return df.withColumn(into, F.row_number().over(w)).filter(F.col(into) <= k)
-
-
-def dense(vectors: DataFrame, queries: DataFrame, part: str) -> DataFrame:
-    """(query_id, doc_id, score): cosine of vectors(part, doc_id, v) with queries(part, query_id, q) of the same part; unequal lengths are skipped, negatives kept."""
-    pairs = vectors.filter("v is not null").join(queries.filter("q is not null"), part)
-    return pairs.select("query_id", "doc_id", cosine(F.col("v"), F.col("q")).alias("score")).filter("score is not null")
-
-
 def fuse(lists: list[DataFrame], k: int = RRF_K, limit: int = FUSED_K) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, doc_id, rank): the sum of 1 / (k + rank), best first."""
     every = lists[0].select("query_id", "doc_id", "rank")
@@ -72,11 +32,18 @@ def fuse(lists: list[DataFrame], k: int = RRF_K, limit: int = FUSED_K) -> DataFr
 
 def hybrid(docs: DataFrame, queries: DataFrame, part: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Dense, lexical and fused lists of docs(part, doc_id, text, v) for queries(part, query_id, text, q). A null v or q is in no dense list."""
+    first, second = dense_list(docs, queries, part), lexical_list(docs, queries, part)
+    return first, second, fuse([first, second])
+
+
+def dense_list(docs: DataFrame, queries: DataFrame, part: str) -> DataFrame:
+    return dense(docs.select(part, "doc_id", "v"), queries.select(part, "query_id", "q"), part, DENSE_K)
+
+
+def lexical_list(docs: DataFrame, queries: DataFrame, part: str) -> DataFrame:
     tokens = docs.select(part, "doc_id", search_tokens(F.col("text")).alias("tokens"))
     asked = queries.select(part, "query_id", search_tokens(F.col("text")).alias("tokens"))
-    first = top(dense(docs.select(part, "doc_id", "v"), queries.select(part, "query_id", "q"), part), "query_id", "score", DENSE_K, "rank")
-    second = top(bm25(tokens, asked, part), "query_id", "score", BM25_K, "rank")
-    return first, second, fuse([first, second])
+    return bm25(tokens, asked, part, BM25_K)
 
 
 def diverse(ranked: DataFrame, limit: int = RETURN_K, per_document: int = PER_DOCUMENT, overlap: float = 0.8) -> DataFrame:
@@ -113,22 +80,6 @@ def diverse(ranked: DataFrame, limit: int = RETURN_K, per_document: int = PER_DO
     return ranked.select("query_id", "doc_id", "parent_id", "section", "grams", "position").groupBy("query_id").applyInPandas(walk, schema)
 
 
-def retrieval_metrics(results: DataFrame, truth: DataFrame, k: int = RETURN_K) -> DataFrame:
-    """Per query of truth(query_id, doc_id, grade > 0): recall at k, reciprocal rank of the first hit, nDCG at k with the grade as gain. results(query_id, doc_id, rank)."""
-    cut = results.filter(F.col("rank") <= k)
-    hits = cut.join(truth, ["query_id", "doc_id"])
-    got = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"), F.sum(F.col("grade") / F.log2(F.col("rank") + 1)).alias("dcg"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")
-    ideal = truth.withColumn("i", F.row_number().over(w)).groupBy("query_id").agg(F.count("*").alias("relevant"), F.sum(F.when(F.col("i") <= k, F.col("grade") / F.log2(F.col("i") + 1))).alias("idcg"))
-    j = ideal.join(got, "query_id", "left")
-    return j.select(
-        "query_id",
-        (F.coalesce("hits", F.lit(0)) / F.col("relevant")).alias("recall"),
-        F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"),
-        F.coalesce(F.col("dcg") / F.col("idcg"), F.lit(0.0)).alias("ndcg"),
-    )
-
-
 def hash_embedding(rows: DataFrame, key: str, text: str, dims: int) -> DataFrame:
     """Sparse rows (key, index, value) of hashed bigram embeddings with unit length: a bigram's SHA-256 gives the index (first four bytes modulo dims) and the sign (parity of the fifth). An empty text is the first axis."""
     grams = rows.select(key, F.explode_outer(bigrams(F.col(text))).alias("g"))

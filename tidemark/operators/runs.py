@@ -8,22 +8,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.steps import written
+
 
 def compare(base: DataFrame, other: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Full outer comparison by keys: membership, and per field base_f, compare_f, delta_f (compare - base; null if either is missing) and why_f.
 
-    A missing delta says why: the sector is absent on a side, or its value is.
+    A missing delta says why: the sector is absent on a side, its snapshot never declared the field
+    (where a side has an array column `available`), or its value is missing; in this order.
     """
-    b = base.select(*keys, *[F.col(f).alias(f"base_{f}") for f in fields], F.lit(True).alias("_b"))
-    o = other.select(*keys, *[F.col(f).alias(f"compare_{f}") for f in fields], F.lit(True).alias("_o"))
+    declared = lambda df, side: [F.col("available").alias(side)] if "available" in df.columns else []
+    b = base.select(*keys, *[F.col(f).alias(f"base_{f}") for f in fields], *declared(base, "_bd"), F.lit(True).alias("_b"))
+    o = other.select(*keys, *[F.col(f).alias(f"compare_{f}") for f in fields], *declared(other, "_od"), F.lit(True).alias("_o"))
     j = b.join(o, keys, "full_outer")
     has_b, has_o = F.col("_b").isNotNull(), F.col("_o").isNotNull()
     out = j.withColumn("membership", F.when(has_b & has_o, "BOTH").when(has_b, "ONLY_BASE").otherwise("ONLY_COMPARE"))
     for f in fields:
         delta = F.col(f"compare_{f}") - F.col(f"base_{f}")
-        why = F.when(~has_b | ~has_o, "SECTOR_MISSING").when(delta.isNull(), "VALUE_MISSING")
+        silent = F.lit(False)
+        for side in ("_bd", "_od"):
+            if side in j.columns:
+                silent = silent | ~F.coalesce(F.array_contains(side, f), F.lit(False))
+        why = F.when(~has_b | ~has_o, "SECTOR_MISSING").when(delta.isNull() & silent, "FIELD_UNDECLARED").when(delta.isNull(), "VALUE_MISSING")
         out = out.withColumns({f"delta_{f}": delta, f"why_{f}": F.coalesce(why, F.lit(""))})
-    return out.drop("_b", "_o")
+    return out.drop("_b", "_o", "_bd", "_od")
 
 
 def merged_history(primary: DataFrame, legacy: DataFrame, key: str) -> DataFrame:
@@ -45,13 +53,21 @@ def prioritised(df: DataFrame, key: str, priority: str) -> DataFrame:
 def paged(df: DataFrame, order: list[Column], size: int, page: int) -> DataFrame:
     """A page (from 1) of df in order, with the total number of rows; the page number is held within what there is.
 
-    Rows up to the page's end come from a top-k; only they are numbered.
+    Rows are dealt by range of the order and counted a partition; only the partitions that hold the
+    page are numbered, each on its own, so the last page costs no more than the first.
     """
-    total = df.count()
+    dealt = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "page")
+    counts = [(r["_p"], r["count"]) for r in dealt.groupBy("_p").count().orderBy("_p").collect()]
+    total = sum(n for _, n in counts)
     page = max(1, min(page, max(1, -(-total // size))))
-    top = df.orderBy(*order).limit(page * size)
-    w = Window.orderBy(*order)
-    return top.withColumn("position", F.row_number().over(w)).filter(F.col("position") > (page - 1) * size).withColumn("total", F.lit(total))
+    first, at, here = (page - 1) * size, 0, []
+    for p, n in counts:
+        if at < first + size and at + n > first:
+            here.append((p, at))
+        at += n
+    before = F.coalesce(*[F.when(F.col("_p") == p, n) for p, n in here], F.lit(0))
+    numbered = dealt.filter(F.col("_p").isin([p for p, _ in here])).withColumn("position", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + before)
+    return numbered.filter((F.col("position") > first) & (F.col("position") <= first + size)).drop("_p").withColumn("total", F.lit(total))
 
 
 def review_metrics(audit: DataFrame, key: str) -> DataFrame:

@@ -239,11 +239,3 @@ def transitioned(tasks: DataFrame) -> DataFrame:
 def failure_class(kind: Column, retriable: Column) -> Column:
     """PERMANENT for parse errors, by its flag for a provider's, RETRYABLE for anything else."""
     return F.when(kind == "PARSE", "PERMANENT").when((kind == "PROVIDER") & ~F.coalesce(retriable, F.lit(False)), "PERMANENT").otherwise("RETRYABLE")
-
-
-def safe_text(text: Column, most: int = 200) -> Column:
-    """A log line without keys, mail addresses and long digit runs, on one line, at most `most` characters."""
-    out = F.regexp_replace(text, r"\s+", " ")
-    for pattern, into in ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+", "<mail>"), (r"\b[A-Za-z0-9_-]{32,}\b", "<key>"), (r"[0-9]{9,}", "<number>")):
-        out = F.regexp_replace(out, pattern, into)
-    return F.substring(out, 1, most)

@@ -36,16 +36,16 @@ def number_facts(spark, sf_dir):
 
 
 def page_gate(spark, sf_dir):
-    """OCR needs of pages: characters outside tags, replacement characters, share of image markup."""
-    text = F.regexp_replace("html", "<[^>]*>", "")
-    shaped = read(spark, sf_dir, "pages").select(
-        "page_id", F.length(text).alias("chars"), F.regexp_count(text, F.lit("[&;*%#$]")).alias("garbled"), ((F.length("html") % 10).cast("double") / 10).alias("image_share")
-    )
-    return D.page_quality(shaped).select("page_id", "chars", F.coalesce("need", F.lit("")).alias("need"))
+    """OCR needs of pages: non-space characters outside tags, replacement characters among them, share of image markup in what is not other markup."""
+    images = F.coalesce(F.aggregate(F.regexp_extract_all("html", F.lit("<img[^>]*>"), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x)), F.lit(0))
+    text = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", ""), r"\s", "")
+    shaped = read(spark, sf_dir, "pages").select("page_id", F.length(text).alias("chars"), F.regexp_count(text, F.lit("\ufffd")).alias("garbled"), (images / (images + F.length(text))).alias("image_share"))
+    shaped = shaped.withColumns({"chars": F.coalesce("chars", F.lit(0)), "garbled": F.coalesce("garbled", F.lit(0)), "image_share": F.coalesce("image_share", F.lit(0.0))})
+    return D.page_quality(shaped).select("page_id", "chars", "garbled", F.coalesce("need", F.lit("")).alias("need"))
 
 
-GATE_SQL = """WITH p AS (SELECT page_id, html, regexp_replace(html, '<[^>]*>', '', 'g') AS t FROM pages), q AS (SELECT page_id, length(t) AS chars, len(regexp_extract_all(t, '[&;*%#$]')) AS g, CAST(length(html) % 10 AS DOUBLE) / 10 AS img FROM p)
-SELECT page_id, chars, CASE WHEN chars = 0 THEN 'NO_TEXT' WHEN img >= 0.5 THEN 'IMAGE' WHEN chars < 40 THEN 'FEW_CHARS' WHEN g / chars > 0.3 THEN 'GARBLED' ELSE '' END AS need FROM q"""
+GATE_SQL = r"""WITH p AS (SELECT page_id, coalesce(len(array_to_string(regexp_extract_all(html, '<img[^>]*>'), '')), 0) AS im, coalesce(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\s', '', 'g'), '') AS t FROM pages), q AS (SELECT page_id, CAST(length(t) AS INT) AS chars, CAST(len(regexp_extract_all(t, chr(65533))) AS INT) AS garbled, im FROM p)
+SELECT page_id, chars, garbled, CASE WHEN chars = 0 THEN 'NO_TEXT' WHEN im >= 0.5 * (im + chars) THEN 'IMAGE' WHEN chars < 40 THEN 'FEW_CHARS' WHEN garbled > 0.3 * chars THEN 'GARBLED' ELSE '' END AS need FROM q"""
 
 
 def body_sizes(spark, sf_dir):

@@ -72,7 +72,7 @@ def radar_rank(spark, sf_dir):
     return M.ranked(u, [F.desc(F.round("radar", 9)), F.asc("sector_id")], UNIVERSE, 20).select("run_id", "kind", "sector_id", "radar", "rank")
 
 
-RADAR_SQL = f"{_B} SELECT run_id, kind, sector_id, abs(pct_change) + abs(breadth_ratio - 0.5) + coalesce(turnover_rate, 0.0) / 10 AS radar, CAST(row_number() OVER (PARTITION BY run_id, kind ORDER BY round(radar, 9) DESC, sector_id) AS INT) AS rank FROM u QUALIFY rank <= 20"
+RADAR_SQL = f"{_B} SELECT run_id, kind, sector_id, abs(pct_change) + abs(breadth_ratio - 0.5) + abs(coalesce(leader_pct_change, 0.0)) / 10 + coalesce(turnover_rate, 0.0) / 10 AS radar, CAST(row_number() OVER (PARTITION BY run_id, kind ORDER BY round(radar, 9) DESC, sector_id) AS INT) AS rank FROM u QUALIFY rank <= 20"
 
 
 def field_availability(spark, sf_dir):
@@ -83,16 +83,13 @@ def field_availability(spark, sf_dir):
 
 
 FIELDS_SQL = f"""{_B}, f AS (SELECT run_id, kind, array_to_string(list_filter([CASE WHEN bool_or(pct_change IS NOT NULL) THEN 'pct_change' END, CASE WHEN bool_or(turnover_rate IS NOT NULL) THEN 'turnover_rate' END, CASE WHEN bool_or(advancers IS NOT NULL) THEN 'advancers' END], lambda x: x IS NOT NULL), ',') AS available FROM u GROUP BY 1, 2)
-SELECT run_id, kind, sector_id, CASE WHEN available = '' OR available LIKE '%turnover_rate%' THEN turnover_rate END AS shown, available FROM u JOIN f USING (run_id, kind)"""
-
-NEED = {"INDUSTRY": 25, "CONCEPT": 100}
-
+SELECT run_id, kind, sector_id, CASE WHEN list_contains(string_split(available, ','), 'turnover_rate') THEN turnover_rate END AS shown, available FROM u JOIN f USING (run_id, kind)"""
 
 def universe_gate(spark, sf_dir):
-    return M.universe_gate(_universe(spark, sf_dir), UNIVERSE, NEED)
+    return M.universe_gate(_universe(spark, sf_dir), UNIVERSE)
 
 
-GATE_SQL = f"{_B} SELECT run_id, kind, count(*) AS n, CASE WHEN count(*) < CASE kind WHEN 'INDUSTRY' THEN 25 ELSE 100 END THEN 'BLOCKED' ELSE 'NORMAL' END AS status, CASE WHEN count(*) < CASE kind WHEN 'INDUSTRY' THEN 25 ELSE 100 END THEN 'INSUFFICIENT_COVERAGE' END AS reason FROM u GROUP BY 1, 2"
+GATE_SQL = f"{_B} SELECT run_id, kind, count(*) AS n, CASE WHEN count(*) < CASE kind WHEN 'INDUSTRY' THEN 50 ELSE 100 END THEN 'BLOCKED' ELSE 'NORMAL' END AS status, CASE WHEN count(*) < CASE kind WHEN 'INDUSTRY' THEN 50 ELSE 100 END THEN 'INSUFFICIENT_COVERAGE' END AS reason FROM u GROUP BY 1, 2"
 
 
 def cutoff_lock(spark, sf_dir):
@@ -103,7 +100,7 @@ LOCK_SQL = f"{_B} SELECT run_id, max(observed_at) AS cutoff, CAST((epoch_us(max(
 
 
 def terminal_status(spark, sf_dir):
-    out = M.terminal_status(M.universe_gate(_universe(spark, sf_dir), UNIVERSE, NEED), ["run_id"])
+    out = M.terminal_status(M.universe_gate(_universe(spark, sf_dir), UNIVERSE), ["run_id"])
     return out.select("run_id", F.array_join("codes", ",").alias("codes"), "status")
 
 

@@ -24,8 +24,16 @@ FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END AS name
 
 
 def fallback(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return P.with_fallback(o.filter("o_orderstatus = 'Z'"), o.filter("o_orderstatus = 'F'"))
+    """Two feeds with the same fallback, finished orders: one that has rows (urgent open orders), one that has none (open orders below any price)."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    spare, cols = o.filter("o_orderstatus = 'F'"), ["o_orderkey", "o_orderstatus"]
+    feeds = {"urgent": o.filter("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'"), "free": o.filter("o_orderstatus = 'O' and o_totalprice <= 0")}
+    served = [P.with_fallback(feed.select(*cols), spare.select(*cols)).withColumn("feed", F.lit(name)) for name, feed in feeds.items()]
+    return served[0].unionByName(served[1])
+
+
+FALLBACK_SQL = """SELECT o_orderkey, o_orderstatus, 'urgent' AS feed FROM orders WHERE o_orderstatus = CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') THEN 'O' ELSE 'F' END AND (o_orderstatus = 'F' OR o_orderpriority = '1-URGENT')
+UNION ALL SELECT o_orderkey, o_orderstatus, 'free' FROM orders WHERE o_orderstatus = CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'O' AND o_totalprice <= 0) THEN 'O' ELSE 'F' END AND (o_orderstatus = 'F' OR o_totalprice <= 0)"""
 
 
 def key_match(spark, sf_dir):
@@ -257,7 +265,7 @@ RUN_COUNTS_SQL = "SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orde
 
 QUERIES = {
     "records_vendor_rows": (vendor_rows, VENDOR_SQL),
-    "records_fallback": (fallback, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'"),
+    "records_fallback": (fallback, FALLBACK_SQL),
     "records_key_match": (key_match, MATCH_SQL),
     "records_candidates_view": (candidates_view, VIEW_SQL),
     "records_evidence_tree": (evidence_tree, TREE_SQL),

@@ -8,13 +8,14 @@ from tidemark.functions import text as X
 from tidemark.operators import chunking as C
 from tidemark.operators import documents as D
 from tidemark.operators import retrieval as R
+from tidemark.operators import search as S
 from tidemark.sources.steps import written
-from tidemark.sources.tables import NEWS_SQL, news_documents, read
+from tidemark.sources.tables import NEWS_SQL, news_documents, read, spread
 
 
 def _corpus(spark, sf_dir):
     """Every document; v is null where it has no vector. A search sees the documents of its language."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), "source")
+    docs = spread(read(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), "source")
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
     return docs.join(vectors, "doc_id", "left")
 
@@ -49,11 +50,11 @@ def _lists(spark, sf_dir):
 
 
 def dense_rank(spark, sf_dir):
-    return _R9(_lists(spark, sf_dir)[0])
+    return _R9(R.dense_list(_corpus(spark, sf_dir), _queries(spark, sf_dir), "lang"))
 
 
 def bm25_rank(spark, sf_dir):
-    return _R9(_lists(spark, sf_dir)[1])
+    return _R9(R.lexical_list(_corpus(spark, sf_dir), _queries(spark, sf_dir), "lang"))
 
 
 def hybrid_search(spark, sf_dir):
@@ -74,10 +75,7 @@ def _reranked(spark, sf_dir):
     """The fused lists in order of bigram overlap, with the documents' bigrams, which are taken once a document."""
     fused = _lists(spark, sf_dir)[2].select("query_id", "doc_id")
     texts = written(_corpus(spark, sf_dir).select("doc_id", "source", "lang", X.bigrams(F.coalesce("text", F.lit(""))).alias("grams")), "rag-grams")
-    asked = texts.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("grams").alias("q"))
-    j = fused.join(texts, "doc_id").join(asked, "query_id")
-    score = F.when(F.size("q") == 0, 0.0).otherwise(F.size(F.array_intersect("q", "grams")).cast("double") / F.size("q").cast("double"))
-    return R.top(j.withColumn("score", score).drop("q"), "query_id", "score", 50, "position")
+    return R.top(S.overlaps(fused, texts), "query_id", "score", 50, "position")
 
 
 def rerank(spark, sf_dir):
@@ -96,14 +94,11 @@ def diverse_selection(spark, sf_dir):
     return R.diverse(ranked)
 
 
-def _truth(spark, sf_dir):
-    good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", (F.col("doc_id") % 3 + 1).alias("grade"))
-    docs = _corpus(spark, sf_dir).select("lang", "doc_id").join(good, "doc_id")
-    return docs.join(_queries(spark, sf_dir).select("lang", "query_id"), "lang").select("query_id", "doc_id", "grade")
-
-
 def retrieval_metrics(spark, sf_dir):
-    m = R.retrieval_metrics(_lists(spark, sf_dir)[2], _truth(spark, sf_dir))
+    """The good documents of a question's language are relevant, in three grades."""
+    graded = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", (F.col("doc_id") % 3 + 1).alias("grade"))
+    graded = _corpus(spark, sf_dir).select("lang", "doc_id").join(graded, "doc_id")
+    m = S.partition_metrics(_lists(spark, sf_dir)[2], graded, _queries(spark, sf_dir).select("lang", "query_id"), "lang", R.RETURN_K)
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
@@ -188,7 +183,7 @@ def filtered_search(spark, sf_dir):
     d = news_documents(spark, sf_dir).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), X.search_tokens(F.col("text")).alias("tokens"), F.col("source_grade").alias("document_type"), F.timestamp_micros("published_us").alias("published_at"), F.col("citation_url").isNull().alias("requires_verification"))
     asked = d.filter("doc_id % 20 = 0").select("lang", F.col("doc_id").alias("query_id"), "tokens")
     seen = R.allowed_documents(d, **FILTER).select("lang", "doc_id", "tokens")
-    return _R9(R.top(R.bm25(seen, asked, "lang"), "query_id", "score", 12, "rank"))
+    return _R9(S.bm25(seen, asked, "lang", R.RETURN_K))
 
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')"

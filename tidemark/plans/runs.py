@@ -42,7 +42,7 @@ def comparison_order(spark, sf_dir):
     """L4: the comparison's rows in their fixed order, missing ranks last."""
     base, other = _sides(spark, sf_dir)
     out = R.compare(base, other, ["kind", "sector_id"], ["rank"])
-    ranked = M.ranked(out, [F.asc_nulls_last("compare_rank"), F.asc_nulls_last("base_rank"), F.asc("kind"), F.asc("sector_id")], None, 100, "position")
+    ranked = M.ranked(out, [F.asc_nulls_last("compare_rank"), F.asc_nulls_last("base_rank"), F.asc("kind"), F.asc("sector_id")], None, None, "position")
     return ranked.select("kind", "sector_id", "position")
 
 
@@ -248,13 +248,13 @@ SELECT event_id, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS next_at FROM c WHERE t
 
 
 def shadow_progress(spark, sf_dir):
-    """Distinct days and counts per outcome per priority; complete after a thousand days."""
+    """Distinct days and counts per outcome per priority; complete after the twenty days of the rule."""
     o = read(spark, sf_dir, "orders")
     out = o.groupBy("o_orderpriority").agg(F.countDistinct(F.to_date("o_orderdate")).alias("days"), *[F.count_if(F.col("o_orderstatus") == s).alias(f"status_{s.lower()}") for s in "FOP"])
-    return out.withColumns({"remaining": F.greatest(F.lit(0), F.lit(1000) - F.col("days")), "complete": F.col("days") >= 1000})
+    return out.withColumns({"remaining": F.greatest(F.lit(0), F.lit(20) - F.col("days")), "complete": F.col("days") >= 20})
 
 
-SHADOW_SQL = "SELECT o_orderpriority, count(DISTINCT CAST(o_orderdate AS DATE)) AS days, count(*) FILTER (o_orderstatus = 'F') AS status_f, count(*) FILTER (o_orderstatus = 'O') AS status_o, count(*) FILTER (o_orderstatus = 'P') AS status_p, greatest(0, 1000 - days) AS remaining, days >= 1000 AS complete FROM orders GROUP BY 1"
+SHADOW_SQL = "SELECT o_orderpriority, count(DISTINCT CAST(o_orderdate AS DATE)) AS days, count(*) FILTER (o_orderstatus = 'F') AS status_f, count(*) FILTER (o_orderstatus = 'O') AS status_o, count(*) FILTER (o_orderstatus = 'P') AS status_p, greatest(0, 20 - days) AS remaining, days >= 20 AS complete FROM orders GROUP BY 1"
 
 
 QUERIES = {

@@ -296,14 +296,6 @@ def failure_classes(spark, sf_dir):
 FAILURE_SQL = "SELECT CASE WHEN event_type = 'error' THEN 'PERMANENT' WHEN event_type = 'click' AND NOT coalesce(value < 20, false) THEN 'PERMANENT' ELSE 'RETRYABLE' END AS class, count(*) AS n FROM events GROUP BY 1"
 
 
-def safe_log(spark, sf_dir):
-    """The start of each document as a log line without addresses, keys and long numbers."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce(W.safe_text(F.col("text")), F.lit("")).alias("line"))
-
-
-SAFE_SQL = r"""SELECT doc_id, coalesce(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+', '<mail>', 'g'), '\b[A-Za-z0-9_-]{32,}\b', '<key>', 'g'), '[0-9]{9,}', '<number>', 'g'), 1, 200), '') AS line FROM documents"""
-
-
 def audit_list(spark, sf_dir):
     """A user's audit rows in order, the newest ten of each."""
     e = read(spark, sf_dir, "events")
@@ -337,7 +329,6 @@ QUERIES = {
     "runs_audit_list": (audit_list, AUDIT_LIST_SQL),
     "records_code_sectors": (code_sectors, SECTORS_SQL),
     "records_pinned": (pinned, PINNED_SQL),
-    "records_safe_log": (safe_log, SAFE_SQL),
     "review_card_issues": (card_issues, CARD_SQL),
     "review_ungoverned_sections": (ungoverned, UNGOVERNED_SQL),
     "review_subject_repair": (subject_repair, REPAIR_SQL),

@@ -13,6 +13,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key where the files give fewer partitions than there are cores (a table in one row group); as they are otherwise."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _measures(rows: DataFrame, kind: str) -> DataFrame:
     cents = F.round(F.col("l_discount") * 100).cast("long")
     n = F.count("*")
@@ -22,8 +28,9 @@ def _measures(rows: DataFrame, kind: str) -> DataFrame:
         F.count_if(cents > 5).alias("advancers"),
         F.count_if(cents < 5).alias("decliners"),
         F.max("o_orderdate").alias("observed_at"),
+        F.when(n % 7 != 0, F.max(F.col("l_quantity").cast("long")).cast("double") - F.min(F.col("l_quantity").cast("long")).cast("double") - 25.0).alias("leader_pct_change"),
     )
-    return out.select("run_id", F.lit(kind).alias("kind"), "sector_id", (F.col("drift") * 60.0).alias("pct_change"), "turnover_rate", "advancers", "decliners", "observed_at")
+    return out.select("run_id", F.lit(kind).alias("kind"), "sector_id", (F.col("drift") * 60.0).alias("pct_change"), "turnover_rate", "advancers", "decliners", "observed_at", "leader_pct_change")
 
 
 def sector_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +49,8 @@ def sector_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_measures(kind: str, key: str, join: str) -> str:
     return f"""SELECT run_id, '{kind}' AS kind, {key} AS sector_id, (CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / CAST(count(*) AS DOUBLE) - 5.0) * 60.0 AS pct_change,
 CASE WHEN count(*) % 5 <> 0 THEN CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 5.0 END AS turnover_rate,
-count(*) FILTER (round(l_discount * 100) > 5) AS advancers, count(*) FILTER (round(l_discount * 100) < 5) AS decliners, max(o_orderdate) AS observed_at
+count(*) FILTER (round(l_discount * 100) > 5) AS advancers, count(*) FILTER (round(l_discount * 100) < 5) AS decliners, max(o_orderdate) AS observed_at,
+CASE WHEN count(*) % 7 <> 0 THEN CAST(max(CAST(l_quantity AS BIGINT)) AS DOUBLE) - CAST(min(CAST(l_quantity AS BIGINT)) AS DOUBLE) - 25.0 END AS leader_pct_change
 FROM rows {join} GROUP BY run_id, {key}"""
 
 
