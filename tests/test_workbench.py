@@ -49,7 +49,7 @@ def test_packing_of_worked_cases():
     assert C.pack([39, 39], 0, p) == [(0, 1), (1, 2)]  # 78 passes the cap, and a shared 39 leaves no room
     assert C.pack([30, 10, 5], 0, p) == [(0, 3)]  # the rest of 10 + 5 is short and 45 is within the cap
     assert C.pack([30, 40, 5], 0, p) == [(0, 2), (1, 3)]  # 75 would pass the cap, 40 + 5 reaches the target
-    assert C.pack([50, 15, 10], 0, p) == [(0, 1), (1, 3)]  # shared 50 + 15 reaches the target at 65, but 50 begins again
+    assert C.pack([50, 15, 10], 0, p) == [(0, 1), (0, 2), (1, 3)]  # 50 is shared and 65 is within the cap; then 15 is shared
     assert C.pack([30, 30, 30], 10, p, overlap=False) == [(0, 2), (2, 3)]
 
 
