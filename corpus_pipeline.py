@@ -55,8 +55,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         gone = materialize(judged.filter("not kept").select("doc_id"), "pipeline-gone")
         left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
     else:
-        key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-        named = scratch.keep(docs.select(*COLUMNS).withColumn("key", key), "pipeline-named")
+        # a number for each doc_id and digest of a text, written once so that it stays
+        marked = docs.select(*COLUMNS).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+        keys = marked.filter("doc_id is not null").select("doc_id", "digest").distinct().withColumn("key", F.monotonically_increasing_id())
+        named = scratch.keep(marked.join(scratch.keep(keys, "pipeline-keys"), ["doc_id", "digest"], "left").select(*COLUMNS, "key"), "pipeline-named")
         one = named.filter("key is not null").dropDuplicates(["key"])
         judged = minhash.near_duplicates(one.select(F.col("key").alias("doc_id"), "text"), keep=scratch.keep)
         group = judged.select(F.col("doc_id").alias("key"), "component_id")
