@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import workbench as W
 from tidemark.operators.market import ranked
-from tidemark.sources.tables import read
+from tidemark.sources.tables import SPLIT, read
 
 NEEDLE = "re"
 
@@ -41,42 +41,48 @@ s AS (SELECT l_partkey AS document_id, coalesce(max(l_shipdate) FILTER (l_return
 SELECT document_id, queries, primary_source, primary_status, epoch_us(seen) AS at_us, CAST(row_number() OVER (ORDER BY seen DESC, document_id DESC) AS INT) AS position FROM f JOIN s USING (document_id) QUALIFY position <= 500"""
 
 
-def _contexts(spark, sf_dir, year):
-    """Snapshots of a year's orders by priority: what identifies them follows from their number."""
-    o = read(spark, sf_dir, "orders").filter(F.year("o_orderdate") == year)
+def _run(date="o_orderdate"):
+    """The run of a row: base before the split date, compare from then on; all rows are in one of them."""
+    return F.when(F.col(date) < F.lit(SPLIT).cast("timestamp_ntz"), "base").otherwise("compare")
+
+
+def _contexts(spark, sf_dir, run):
+    """Snapshots of a run's orders by priority: what identifies them follows from their number."""
+    o = read(spark, sf_dir, "orders").filter(_run() == run)
     n = F.count("*")
     per = o.groupBy(F.col("o_orderpriority").alias("kind")).agg(n.alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("p"))
     return per.select("kind", F.lit("orders").alias("provider_id"), F.concat(F.lit("v"), F.col("n") % 2).alias("classification_version"), F.concat(F.lit("s"), F.col("n") % 3).alias("source_version"), (F.col("p") % 2).alias("n_fields"))
 
 
 def kind_status(spark, sf_dir):
-    """Orders of two years compared by priority; line statuses count as kinds without a snapshot."""
+    """Orders of two runs compared by priority; line statuses count as kinds without a snapshot."""
     kinds = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("kind")).union(read(spark, sf_dir, "lineitem").select("l_linestatus"))
-    out = W.kind_status(_contexts(spark, sf_dir, 1995), _contexts(spark, sf_dir, 1996), kinds)
+    out = W.kind_status(_contexts(spark, sf_dir, "base"), _contexts(spark, sf_dir, "compare"), kinds)
     return out.withColumn("warnings", F.array_join("warnings", ","))
 
 
-_CONTEXTS = """ctx AS (SELECT year(o_orderdate) AS y, o_orderpriority AS kind, 'v' || (count(*) % 2) AS cv, 's' || (count(*) % 3) AS sv, count(*) FILTER (o_orderstatus = 'P') % 2 AS nf FROM orders GROUP BY 1, 2),
+_RUN = f"CASE WHEN o_orderdate < TIMESTAMP '{SPLIT}' THEN 'base' ELSE 'compare' END"
+_CONTEXTS = f"""ctx AS (SELECT {_RUN} AS y, o_orderpriority AS kind, 'v' || (count(*) % 2) AS cv, 's' || (count(*) % 3) AS sv, count(*) FILTER (o_orderstatus = 'P') % 2 AS nf FROM orders GROUP BY 1, 2),
 kinds AS (SELECT DISTINCT o_orderpriority AS kind FROM orders UNION SELECT l_linestatus FROM lineitem),
 st AS (SELECT kinds.kind, CASE WHEN b.kind IS NULL OR c.kind IS NULL THEN 'UNAVAILABLE' WHEN b.cv <> c.cv THEN 'INCOMPATIBLE' ELSE 'COMPARABLE' END AS status, b.sv AS bs, c.sv AS cs, b.nf AS bf, c.nf AS cf
-FROM kinds LEFT JOIN (SELECT * FROM ctx WHERE y = 1995) b ON b.kind = kinds.kind LEFT JOIN (SELECT * FROM ctx WHERE y = 1996) c ON c.kind = kinds.kind)"""
+FROM kinds LEFT JOIN (SELECT * FROM ctx WHERE y = 'base') b ON b.kind = kinds.kind LEFT JOIN (SELECT * FROM ctx WHERE y = 'compare') c ON c.kind = kinds.kind)"""
 KIND_SQL = f"""WITH {_CONTEXTS} SELECT kind, status, CASE status WHEN 'UNAVAILABLE' THEN 'SNAPSHOT_MISSING' WHEN 'INCOMPATIBLE' THEN 'CLASSIFICATION_MISMATCH' ELSE
 array_to_string(list_filter([CASE WHEN bs <> cs THEN 'SOURCE_VERSION_DIFF' END, CASE WHEN bf = 0 THEN 'FIELD_SCHEMA_UNKNOWN:BASE' END, CASE WHEN cf = 0 THEN 'FIELD_SCHEMA_UNKNOWN:COMPARE' END], lambda x: x IS NOT NULL), ',') END AS warnings FROM st"""
 
 
-def _year_candidates(spark, sf_dir, year):
-    o = read(spark, sf_dir, "orders").filter(F.year("o_orderdate") == year)
+def _run_candidates(spark, sf_dir, run):
+    o = read(spark, sf_dir, "orders").filter(_run() == run)
     return o.select(F.col("o_orderpriority").alias("kind"), F.col("o_custkey").alias("sector_id"))
 
 
 def membership_counts(spark, sf_dir):
-    """Customers of two years' orders by priority, comparable priorities only."""
+    """Customers of two runs' orders by priority, comparable priorities only."""
     statuses = kind_status(spark, sf_dir)
-    return W.membership_counts(_year_candidates(spark, sf_dir, 1995), _year_candidates(spark, sf_dir, 1996), statuses)
+    return W.membership_counts(_run_candidates(spark, sf_dir, "base"), _run_candidates(spark, sf_dir, "compare"), statuses)
 
 
-MEMBERSHIP_SQL = f"""WITH {_CONTEXTS}, b AS (SELECT DISTINCT o_orderpriority AS kind, o_custkey AS id FROM orders WHERE year(o_orderdate) = 1995 AND o_orderpriority IN (SELECT kind FROM st WHERE status = 'COMPARABLE')),
-c AS (SELECT DISTINCT o_orderpriority AS kind, o_custkey AS id FROM orders WHERE year(o_orderdate) = 1996 AND o_orderpriority IN (SELECT kind FROM st WHERE status = 'COMPARABLE'))
+MEMBERSHIP_SQL = f"""WITH {_CONTEXTS}, b AS (SELECT DISTINCT o_orderpriority AS kind, o_custkey AS id FROM orders WHERE {_RUN} = 'base' AND o_orderpriority IN (SELECT kind FROM st WHERE status = 'COMPARABLE')),
+c AS (SELECT DISTINCT o_orderpriority AS kind, o_custkey AS id FROM orders WHERE {_RUN} = 'compare' AND o_orderpriority IN (SELECT kind FROM st WHERE status = 'COMPARABLE'))
 SELECT count(*) FILTER (b.id IS NOT NULL AND c.id IS NOT NULL) AS both, count(*) FILTER (c.id IS NULL) AS only_base, count(*) FILTER (b.id IS NULL) AS only_compare, (SELECT count(*) FROM st WHERE status <> 'COMPARABLE') AS unavailable_kinds FROM b FULL JOIN c ON b.kind = c.kind AND b.id = c.id"""
 
 
@@ -99,16 +105,16 @@ array_to_string(list_filter([CASE WHEN st <> 'READY' OR coalesce(st2 <> 'READY',
 
 
 def evidence_links(spark, sf_dir):
-    """Links of two ship years side by side, for suppliers and parts that are candidates (cheap ones)."""
+    """Links of two runs, by ship date, side by side, for suppliers and parts that are candidates (cheap ones)."""
     li = read(spark, sf_dir, "lineitem")
-    side = lambda y: li.filter(F.year("l_shipdate") == y).groupBy(F.col("l_linestatus").alias("kind"), F.col("l_partkey").alias("sector_id"), F.col("l_suppkey").alias("event_id")).agg(F.min("l_returnflag").alias("relation"))
+    side = lambda y: li.filter(_run("l_shipdate") == y).groupBy(F.col("l_linestatus").alias("kind"), F.col("l_partkey").alias("sector_id"), F.col("l_suppkey").alias("event_id")).agg(F.min("l_returnflag").alias("relation"))
     keys = li.join(read(spark, sf_dir, "part").filter("p_retailprice < 1200").select(F.col("p_partkey").alias("l_partkey")), "l_partkey").select(F.col("l_linestatus").alias("kind"), F.col("l_partkey").alias("sector_id"))
-    out = W.evidence_links(side(1995), side(1996), keys)
+    out = W.evidence_links(side("base"), side("compare"), keys)
     return out.withColumns({"base_relation": F.coalesce("base_relation", F.lit("")), "compare_relation": F.coalesce("compare_relation", F.lit(""))})
 
 
-EVIDENCE_SQL = """WITH k AS (SELECT l_linestatus AS kind, l_partkey AS sector_id, l_suppkey AS event_id, year(l_shipdate) AS y, min(l_returnflag) AS r FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_retailprice < 1200) GROUP BY ALL),
-b AS (SELECT * FROM k WHERE y = 1995), c AS (SELECT * FROM k WHERE y = 1996)
+EVIDENCE_SQL = f"""WITH k AS (SELECT l_linestatus AS kind, l_partkey AS sector_id, l_suppkey AS event_id, {_RUN.replace('o_orderdate', 'l_shipdate')} AS y, min(l_returnflag) AS r FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_retailprice < 1200) GROUP BY ALL),
+b AS (SELECT * FROM k WHERE y = 'base'), c AS (SELECT * FROM k WHERE y = 'compare')
 SELECT coalesce(b.kind, c.kind) AS kind, coalesce(b.sector_id, c.sector_id) AS sector_id, coalesce(b.event_id, c.event_id) AS event_id, coalesce(b.r, '') AS base_relation, coalesce(c.r, '') AS compare_relation, CASE WHEN b.r IS NULL THEN 'ONLY_COMPARE' WHEN c.r IS NULL THEN 'ONLY_BASE' ELSE 'BOTH' END AS membership
 FROM b FULL JOIN c ON b.kind = c.kind AND b.sector_id = c.sector_id AND b.event_id = c.event_id"""
 
