@@ -13,16 +13,26 @@ from tidemark.sources.steps import written
 from tidemark.sources.tables import NEWS_SQL, news_documents, read, spread
 
 
+def _texts(spark, sf_dir):
+    """Every document, without its vector: what lexical steps read."""
+    return spread(read(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), "source")
+
+
+def _asked_texts(docs):
+    """The documents whose id is divisible by 20, as questions with their whole text."""
+    return docs.filter("doc_id % 20 = 0").select("lang", F.col("doc_id").alias("query_id"), "text")
+
+
 def _corpus(spark, sf_dir):
-    """Every document; v is null where it has no vector. A search sees the documents of its language."""
-    docs = spread(read(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), "source")
+    """Every document without its text; v is null where it has no vector. A search sees the documents of its language."""
+    docs = _texts(spark, sf_dir).select("doc_id", "lang")
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
     return docs.join(vectors, "doc_id", "left")
 
 
 def _asked(docs):
-    """The documents whose id is divisible by 20, as questions with their whole text and vector."""
-    return docs.filter("doc_id % 20 = 0").select("lang", F.col("doc_id").alias("query_id"), "text", F.col("v").alias("q"))
+    """The documents whose id is divisible by 20, as questions with their vector."""
+    return docs.filter("doc_id % 20 = 0").select("lang", F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
 
 
 def _queries(spark, sf_dir):
@@ -45,24 +55,33 @@ _ALL = f"WITH {_BASE}, {_DENSE}, {_BM25}, {_FUSED}"
 _R9 = lambda df: df.withColumn("score", F.round("score", 6))
 
 
-def _lists(spark, sf_dir):
-    return R.hybrid(_corpus(spark, sf_dir), _queries(spark, sf_dir), "lang")
+def _dense(spark, sf_dir):
+    return R.dense_list(_corpus(spark, sf_dir), _queries(spark, sf_dir), "lang")
+
+
+def _lexical(spark, sf_dir):
+    docs = _texts(spark, sf_dir)
+    return R.lexical_list(docs, _asked_texts(docs), "lang")
+
+
+def _fused(spark, sf_dir):
+    return R.fuse([_dense(spark, sf_dir), _lexical(spark, sf_dir)])
 
 
 def dense_rank(spark, sf_dir):
-    return _R9(R.dense_list(_corpus(spark, sf_dir), _queries(spark, sf_dir), "lang"))
+    return _R9(_dense(spark, sf_dir))
 
 
 def bm25_rank(spark, sf_dir):
-    return _R9(R.lexical_list(_corpus(spark, sf_dir), _queries(spark, sf_dir), "lang"))
+    return _R9(_lexical(spark, sf_dir))
 
 
 def hybrid_search(spark, sf_dir):
-    return _R9(_lists(spark, sf_dir)[2])
+    return _R9(_fused(spark, sf_dir))
 
 
 def corpus_statistics(spark, sf_dir):
-    docs = _corpus(spark, sf_dir).select("lang", "doc_id", X.search_tokens(F.col("text")).alias("tokens"))
+    docs = _texts(spark, sf_dir).select("lang", "doc_id", X.search_tokens(F.col("text")).alias("tokens"))
     size, df = R.corpus_statistics(docs, "lang")
     terms = df.groupBy("lang").agg(F.count("*").alias("terms"), F.max("df").alias("max_df"))
     return size.join(terms, "lang").withColumn("avgdl", F.round("avgdl", 6))
@@ -73,8 +92,8 @@ STATS_SQL = f"WITH {_BASE}, {_BM25} SELECT lang, n_docs, round(avgdl, 6) AS avgd
 
 def _reranked(spark, sf_dir):
     """The fused lists in order of bigram overlap, with the documents' bigrams, which are taken once a document."""
-    fused = _lists(spark, sf_dir)[2].select("query_id", "doc_id")
-    texts = written(_corpus(spark, sf_dir).select("doc_id", "source", "lang", X.bigrams(F.coalesce("text", F.lit(""))).alias("grams")), "rag-grams")
+    fused = _fused(spark, sf_dir).select("query_id", "doc_id")
+    texts = written(_texts(spark, sf_dir).select("doc_id", "source", "lang", X.bigrams(F.coalesce("text", F.lit(""))).alias("grams")), "rag-grams")
     return R.top(S.overlaps(fused, texts), "query_id", "score", 50, "position")
 
 
@@ -97,8 +116,8 @@ def diverse_selection(spark, sf_dir):
 def retrieval_metrics(spark, sf_dir):
     """The good documents of a question's language are relevant, in three grades."""
     graded = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", (F.col("doc_id") % 3 + 1).alias("grade"))
-    graded = _corpus(spark, sf_dir).select("lang", "doc_id").join(graded, "doc_id")
-    m = S.partition_metrics(_lists(spark, sf_dir)[2], graded, _queries(spark, sf_dir).select("lang", "query_id"), "lang", R.RETURN_K)
+    graded = _texts(spark, sf_dir).select("lang", "doc_id").join(graded, "doc_id")
+    m = S.partition_metrics(_fused(spark, sf_dir), graded, _asked_texts(_texts(spark, sf_dir)).select("lang", "query_id"), "lang", R.RETURN_K)
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
@@ -156,7 +175,7 @@ SELECT item_id, round(CAST(len(list_intersect({_GRAMS("s")}, {_GRAMS("l")})) AS
 
 def active_hits(spark, sf_dir):
     """fused hits whose document version (by label row) is active and not toxic (deleted)."""
-    hits = _lists(spark, sf_dir)[2].select("query_id", "doc_id", "rank")
+    hits = _fused(spark, sf_dir).select("query_id", "doc_id", "rank")
     versions = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "ACTIVE").otherwise("SUPERSEDED").alias("status"), F.when(F.col("toxic") == 1, F.lit("2024-01-01")).alias("deleted_at"))
     return R.active_only(hits, versions, "doc_id")
 
@@ -193,8 +212,8 @@ q AS (SELECT coalesce(lang, '') AS lang, doc_id AS query_id, {_TOKENS} AS qtoken
 
 def duplicate_ratio(spark, sf_dir):
     """The share of each question's first twelve fused results that repeats another one's text."""
-    texts = _corpus(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
-    return R.duplicate_ratio(_lists(spark, sf_dir)[2].join(texts, "doc_id")).withColumn("duplicate_ratio", F.round("duplicate_ratio", 9))
+    texts = _texts(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    return R.duplicate_ratio(_fused(spark, sf_dir).join(texts, "doc_id")).withColumn("duplicate_ratio", F.round("duplicate_ratio", 9))
 
 
 DUPLICATE_SQL = f"{_ALL} SELECT query_id, round(CAST(count(*) - count(DISTINCT coalesce(text, '')) AS DOUBLE) / count(*), 9) AS duplicate_ratio FROM fused JOIN corpus USING (doc_id) WHERE rank <= 12 GROUP BY 1"
