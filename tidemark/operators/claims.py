@@ -35,6 +35,22 @@ def claim_pairs(claims: DataFrame, group: list[str]) -> DataFrame:
     return pairs.filter(~same)
 
 
+def claim_classes(claims: DataFrame, attributes: list[str]) -> DataFrame:
+    """Claims that agree in all attributes as one row: claim_id (the smallest of the class) and n.
+
+    Decisions follow from attributes alone, so a pair of classes stands for all pairs of their claims, and
+    work grows with the classes of a group, not with the square of its claims. Nulls agree with nulls.
+    """
+    return claims.groupBy(*attributes).agg(F.min("claim_id").alias("claim_id"), F.count("*").alias("n"))
+
+
+def class_members(claims: DataFrame, classes: DataFrame, attributes: list[str]) -> DataFrame:
+    """claims with class_id, the claim_id of their class: what expands a pair of classes when asked for."""
+    named = classes.select(*[F.col(a).alias(f"{a}_") for a in attributes], F.col("claim_id").alias("class_id"))
+    on = [F.col(a).eqNullSafe(F.col(f"{a}_")) for a in attributes]
+    return claims.join(named, on).drop(*[f"{a}_" for a in attributes])
+
+
 def rule_verdict(overlap: Column, negation_differs: Column) -> tuple[Column, Column]:
     """(relation, confidence) by rule: a negation mismatch contradicts, much overlap entails, else uncertain."""
     relation = F.when(negation_differs, "CONTRADICTION").when(overlap >= 0.5, "ENTAILMENT").otherwise("UNCERTAIN")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.news import canonical_url
+
 #: Stage names by run status; other statuses are TERMINATED, stage 5.
 STAGES = {"P": ("COLLECTING", 1), "O": ("WRITING", 3), "F": ("DONE", 4)}
 NULLS = ["", "nan", "none", "-"]
@@ -167,6 +171,39 @@ def cache_key(*parts: Column) -> Column:
     return F.concat(F.lit("rk_"), F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 32))
 
 
+#: The parts of a key, in its sorted order.
+KEY_PARTS = ["conflict_policy_version", "corpus_generation", "embedding_model_version", "filters", "nli_model_version", "query_fingerprint", "reranker_model_version"]
+
+
+def corpus_generation(entries: DataFrame, column: str) -> DataFrame:
+    """One row: generation, a digest of the set of entries (texts), equal whatever their order.
+
+    The eight words of each entry's sha256 are summed and the sums hashed, so tasks combine their part before
+    anything moves and no list of entries exists. Null entries count as empty; an empty table has a generation too.
+    """
+    digest = F.sha2(F.coalesce(column, F.lit("")), 256)
+    sums = [F.sum(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")).alias(f"w{i}") for i in range(8)]
+    text = F.concat_ws("-", *[F.coalesce(F.col(f"w{i}"), F.lit(0)).cast("string") for i in range(8)])
+    return entries.agg(*sums).select(F.concat(F.lit("corpus_"), F.substring(F.sha2(text, 256), 1, 24)).alias("generation"))
+
+
+def policy_version(**settings: float) -> str:
+    """The version of the settings that conflict decisions read."""
+    return "cp_" + sha256("|".join(f"{k}={v}" for k, v in settings.items()).encode()).hexdigest()[:12]
+
+
+def seven_part_key(**parts: Column) -> tuple[Column, Column]:
+    """(key, missing): a digest of the canonical JSON of all seven parts, and the first model version that is null or empty.
+
+    Where one is missing there is no key: leaving it out would mix answers of two models.
+    """
+    if sorted(parts) != KEY_PARTS:
+        raise ValueError(f"a key takes {', '.join(KEY_PARTS)}")
+    empty = F.coalesce(*[F.when(F.coalesce(parts[p], F.lit("")) == "", p) for p in ("embedding_model_version", "reranker_model_version", "nli_model_version")])
+    text = F.to_json(F.struct(*[parts[p].alias(p) for p in KEY_PARTS]), {"ignoreNullFields": "false"})
+    return F.when(empty.isNull(), F.concat(F.lit("rk_"), F.substring(F.sha2(text, 256), 1, 32))), empty
+
+
 def expand_query(text: Column, synonyms: Column, most: int = 3) -> Column:
     """A query with up to most synonyms of each of its words appended, once each; synonyms: map of word to array."""
     words = F.split(F.lower(text), r"\s+")
@@ -185,6 +222,33 @@ def join_wrapped(lines: Column) -> Column:
     return F.aggregate(F.filter(lines, lambda x: x != ""), F.lit(""), step)
 
 
-def rss_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Items of RSS files by Spark's XML reader, schema fixed."""
-    return spark.read.format("xml").option("rowTag", row_tag).schema("title string, link string, pubDate string, description string").load(path)
+FEED_SCHEMA = "guid string, title string, link string, pubDate string, description string, malformed string"
+
+
+def rss_items(spark: SparkSession, path: str, row_tag: str = "item", stream: bool = False) -> DataFrame:
+    """Items of RSS files, as a table or a stream, schema fixed; an item that is no XML has its text in malformed and nulls elsewhere.
+
+    Files are cut at the item's end tag and each item is parsed by itself, so a broken one loses none behind it
+    (the XML reader gives up the rest of its split) and large files are split over tasks.
+    """
+    reader = spark.readStream if stream else spark.read
+    cut = reader.format("text").option("lineSep", f"</{row_tag}>").load(path)
+    opened = cut.select(F.regexp_extract("value", rf"(?s)<{row_tag}(?:\s[^>]*)?>(.*)$", 1).alias("inner"), F.col("value").rlike(rf"(?s)<{row_tag}[\s>]").alias("is_item")).filter("is_item")
+    item = F.from_xml(F.concat(F.lit("<item>"), F.col("inner"), F.lit("</item>")), FEED_SCHEMA, {"columnNameOfCorruptRecord": "malformed", "mode": "PERMISSIVE"})
+    return opened.select(item.alias("item")).select("item.*")
+
+
+def feed_items(items: DataFrame) -> DataFrame:
+    """Items (rss_items) as item_id, title, link (canonical), published_us, content_hash and problem.
+
+    item_id is the guid, else the link, else the content hash. Problems, first match: MALFORMED (no XML), NO_LINK,
+    BAD_DATE (a date that cannot be read or states no zone); null for a good item. No date at all is none.
+    Rows with a problem are kept, so callers count them.
+    """
+    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    title, link, date = F.coalesce(F.trim("title"), F.lit("")), blank(F.col("link")), blank(F.col("pubDate"))
+    digest = F.sha2(F.concat(title, F.lit("\n"), F.coalesce(link, F.lit(""))), 256)
+    plain = F.regexp_replace(F.regexp_replace(date, r"^[A-Za-z]{3},\s*", ""), r"\s*(GMT|UTC|Z)$", " +0000")
+    moment = F.when(plain.rlike(r"[+-]\d{4}$"), F.unix_micros(F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z"))))
+    problem = F.when(F.col("malformed").isNotNull(), "MALFORMED").when(link.isNull(), "NO_LINK").when(date.isNotNull() & moment.isNull(), "BAD_DATE")
+    return items.select(F.coalesce(blank(F.col("guid")), link, digest).alias("item_id"), title.alias("title"), canonical_url(link).alias("link"), moment.alias("published_us"), digest.alias("content_hash"), problem.alias("problem"))

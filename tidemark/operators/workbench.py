@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import coverage
+
 #: Which status may follow which; anything else is rejected.
 TRANSITIONS = {"PENDING": ["RUNNING", "CANCELLED"], "RUNNING": ["SUCCEEDED", "FAILED", "RETRY_WAITING", "CANCELLED"], "RETRY_WAITING": ["RUNNING", "CANCELLED"]}
 #: Words that turn a statement around (fixed values).
@@ -166,6 +168,20 @@ def text_relation(left: Column, right: Column, overlap: Column) -> Column:
     return F.struct(kind.alias("relation"), sure.alias("confidence"))
 
 
+def text_verdicts(statements: DataFrame, group: list[str]) -> DataFrame:
+    """text_l, text_r, relation, confidence: each ordered pair of different texts of a group once, however many statements say them or groups hold them.
+
+    Bigrams are compared for these pairs only, so the cost follows the texts, not the pairs of statements. Null texts have no verdict;
+    a text beside itself is included, as two versions may say the same.
+    """
+    texts = statements.filter("text is not null").select(*group, "text").distinct()
+    side = lambda s: texts.select(*group, F.col("text").alias(f"text_{s}"))
+    pairs = side("l").join(side("r"), group).select("text_l", "text_r").distinct()
+    verdict = text_relation(F.col("text_l"), F.col("text_r"), F.col("overlap"))
+    judged = pairs.withColumn("overlap", coverage(F.col("text_l"), F.col("text_r"))).withColumn("verdict", verdict)
+    return judged.select("text_l", "text_r", "verdict.relation", "verdict.confidence")
+
+
 def vision_usable(confidence: Column, values: Column, series: Column) -> Column:
     """Whether a figure read by a vision model may be used: sure enough, every value holds a digit, and values come with a series."""
     digits = F.forall(values, lambda v: F.coalesce(v.rlike("[0-9]"), F.lit(False)))
