@@ -41,9 +41,7 @@ def dense_list(docs: DataFrame, queries: DataFrame, part: str) -> DataFrame:
 
 
 def lexical_list(docs: DataFrame, queries: DataFrame, part: str) -> DataFrame:
-    tokens = docs.select(part, "doc_id", search_tokens(F.col("text")).alias("tokens"))
-    asked = queries.select(part, "query_id", search_tokens(F.col("text")).alias("tokens"))
-    return bm25(tokens, asked, part, BM25_K)
+    return bm25(docs.select(part, "doc_id", "text"), queries.select(part, "query_id", "text"), part, BM25_K, search_tokens(F.col("text")))
 
 
 def diverse(ranked: DataFrame, limit: int = RETURN_K, per_document: int = PER_DOCUMENT, overlap: float = 0.8) -> DataFrame:

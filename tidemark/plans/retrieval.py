@@ -199,10 +199,10 @@ FILTER = {"types": ["PRIMARY", "REPUTABLE_MEDIA"], "since": "2024-01-01", "until
 
 def filtered_search(spark, sf_dir):
     """The twelve best documents of each question among those of the allowed types, days and without need of verification; statistics are those of the allowed ones."""
-    d = news_documents(spark, sf_dir).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), X.search_tokens(F.col("text")).alias("tokens"), F.col("source_grade").alias("document_type"), F.timestamp_micros("published_us").alias("published_at"), F.col("citation_url").isNull().alias("requires_verification"))
-    asked = d.filter("doc_id % 20 = 0").select("lang", F.col("doc_id").alias("query_id"), "tokens")
-    seen = R.allowed_documents(d, **FILTER).select("lang", "doc_id", "tokens")
-    return _R9(S.bm25(seen, asked, "lang", R.RETURN_K))
+    d = news_documents(spark, sf_dir).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text", F.col("source_grade").alias("document_type"), F.timestamp_micros("published_us").alias("published_at"), F.col("citation_url").isNull().alias("requires_verification"))
+    asked = d.filter("doc_id % 20 = 0").select("lang", F.col("doc_id").alias("query_id"), "text")
+    seen = R.allowed_documents(d, **FILTER).select("lang", "doc_id", "text")
+    return _R9(S.bm25(seen, asked, "lang", R.RETURN_K, X.search_tokens(F.col("text"))))
 
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')"
