@@ -73,7 +73,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies").distinct()
     taken = materialize(plan, "pipeline-copies")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (mixing.words(F.col("text")) == F.col("z"))
-    joined = docs.select(*COLUMNS).join(taken, same)
+    # a plan of few rows goes to the texts, so that these are not shuffled
+    joined = docs.select(*COLUMNS).join(F.broadcast(taken) if taken.count() <= BROADCAST_IDS // 4 else taken, same)
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 

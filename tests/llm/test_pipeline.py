@@ -1,5 +1,9 @@
 """The pipeline's stages on a small table, each against its operator's contract."""
 
+import random
+from contextlib import contextmanager
+
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -65,3 +69,57 @@ def test_stages_on_empty_and_odd_documents(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert len(out.collect()) >= 0 and "doc_id" in out.columns
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+
+
+def shuffled(spark):
+    """Bytes that the session has written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    each = sc.statusStore().executorList(True)
+    return sum(each.apply(k).totalShuffleWrite() for k in range(each.size()))
+
+
+@contextmanager
+def no_small_tables(spark):
+    """As with large tables, nothing is broadcast but what a query broadcasts itself."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def unlike(n):
+    """n texts unlike each other, and a near copy of every hundredth."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(60)), "en", f"s{i % 3}", 0) for i in range(n)]
+    return rows + [(n + i, rows[i][1] + " x", "en", "s0", 0) for i in range(0, n, 100)]
+
+
+def test_near_duplicates_shuffle_what_meets_another(spark):
+    rows = unlike(2000)
+    docs = P.materialize(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "t-unlike")
+    with no_small_tables(spark):
+        before = shuffled(spark)
+        got = minhash.near_duplicates(docs).collect()
+        moved = shuffled(spark) - before
+    assert {r.doc_id: r.component_id for r in got} == {r[0]: r[0] % 2000 for r in rows}
+    assert moved < 2 * 4 * minhash.Settings().hashes * len(rows)  # two signatures a document
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_mixing_stage_shuffles_texts_only_under_a_large_plan(spark, monkeypatch, few):
+    rows = unlike(2000)
+    docs = P.materialize(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "t-unlike")
+    if not few:
+        monkeypatch.setattr(P, "BROADCAST_IDS", 0)
+    with no_small_tables(spark):
+        before = shuffled(spark)
+        got = dict(P.STAGES)["mixing"](spark, docs, "").groupBy("doc_id", "text").count().collect()
+        moved = shuffled(spark) - before
+    from tidemark.llm import mixing
+
+    text = {r[0]: r[1] for r in rows}
+    assert {(r.doc_id, r.text): r["count"] for r in got} == {(r.doc_id, text[r.doc_id]): r.copies for r in mixing.mix(docs).collect() if r.copies}
+    # the test's own count by text shuffles the texts once
+    assert (moved < 1.5 * sum(map(len, text.values()))) == few

@@ -184,8 +184,8 @@ def bayes_verify(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFram
     return beside_hubs(pairs, sketches.select("doc_id", "sig"), s).mapInPandas(run, "a long, b long").distinct()
 
 
-def _size_fits(a, b, s: Settings):
-    """Whether sets of sizes a and b can reach the threshold at all; for columns and arrays."""
+def _size_fits(a: np.ndarray, b: int, s: Settings) -> np.ndarray:
+    """Whether sets of sizes a and b can reach the threshold at all."""
     return (a * 100 >= b * s.percent) & (b * 100 >= a * s.percent)
 
 
@@ -336,21 +336,21 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), keep: Keep = mate
     copies = keep(copies.select("doc_id", "digest", "head").distinct(), "mh-copies")
     gone = F.broadcast(copies) if copies.count() <= BROADCAST_IDS // 4 else copies
     base = made.filter("n_shingles > 0 and doc_id is not null").join(gone.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
-    # candidates: every document of a bucket with the bucket's smallest
-    bands = keep(base.select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.explode("bands").alias("bucket")), "mh-bands")
-    low = F.min(F.struct("doc_id", "size"))
-    hubs = bands.groupBy("bucket").agg(low.alias("low"), F.count("*").alias("n")).filter("n > 1")
-    hubs = keep(hubs.select("bucket", F.col("low.doc_id").alias("hub"), F.col("low.size").alias("hub_size"), "n"), "mh-hubs")
-    fits = (F.col("doc_id") != F.col("hub")) & _size_fits(F.col("size"), F.col("hub_size"), s)
-    stars = bands.join(hubs, "bucket").filter(fits).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # what the buckets of several documents hold; few buckets are, so the steps below read these rows, not all bands
+    bands = keep(base.select("doc_id", F.explode("bands").alias("bucket")), "mh-bands")
+    hubs = bands.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    shared = keep(bands.join(hubs, "bucket").select("bucket", "hub", "n", "doc_id"), "mh-shared")
+    # signatures of documents that meet another; those of no others are compared, so no others travel
+    met = keep(shared.select("doc_id").distinct(), "mh-met")
     sketches = made.select("doc_id", "n_shingles", "sig").filter("sig is not null")
+    sketches = keep(only_ids(sketches, met, "doc_id", met.count()), "mh-sketches")
+    # candidates: every document of a bucket with the bucket's smallest
+    stars = keep(shared.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "mh-pairs")
     passed = keep(bayes_verify(stars, sketches, s), "mh-stars")
     links = exact_links(passed, docs, s, "mh-star", keep).union(copies.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
     found = keep(connected_components(links, keep), "mh-components")
     # the rest of the buckets that still hold several components, without their smallest
-    wide = hubs.filter("n > 2").select("bucket", "hub", "n")
-    members = bands.select("bucket", "doc_id").join(wide, "bucket").filter("doc_id <> hub")
-    members = members.join(found.toDF("doc_id", "component"), "doc_id", "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    members = shared.filter("n > 2 and doc_id <> hub").join(found.toDF("doc_id", "component"), "doc_id", "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     members = keep(members, "mh-members")
     mixed = keep(members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket"), "mh-mixed")
     if not mixed.isEmpty():
