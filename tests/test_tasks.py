@@ -135,3 +135,19 @@ def test_children_are_placed_and_childless_parents_stay(spark):
     children = spark.createDataFrame([(10, 5), (11, 7)], "c int, score int")
     got = P.ordered_children(parents, bridge, children, "p", "c", [F.desc("score")], ["score"]).collect()
     assert sorted((r.p, r.place, r.c) for r in got) == [(1, 1, 11), (1, 2, 10), (2, 0, None)]
+
+
+def test_registry_search_returns_the_last_of_over_900_pages(spark, tmp_path):
+    import duckdb
+
+    from tests.helpers import same
+    from tidemark.plans import tasks
+
+    k = (F.col("id") * 10 + 1).alias("o_orderkey")
+    date = F.timestamp_seconds(F.lit(883612800) + F.col("id") % 997 * 3600).cast("timestamp_ntz").alias("o_orderdate")
+    spark.range(20011).select(k, F.lit("O").alias("o_orderstatus"), F.lit("3-MEDIUM").alias("o_orderpriority"), date).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    df = tasks.search(spark, str(tmp_path))
+    assert df.first().total == 20011 and df.count() == 11
+    same(df, con.execute(tasks.SEARCH_SQL))
